@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,3 +46,14 @@ def ascii_lower(c: Column) -> Column:
 def held_out(doc_id: Column) -> Column:
     """Whether a document is of the held-out quarter: crc32 of the id as text, mod 4, is 2. A null id is not."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def parts(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows again, in slices of about size bytes of text (one row at least), so that long texts don't meet in memory."""
+    for batch in batches:
+        at, held = 0, 0
+        for i, n in enumerate(pc.binary_length(batch["text"]).to_pylist()):
+            held += n
+            if held >= size or i + 1 == batch.num_rows:
+                yield batch.slice(at, i + 1 - at)
+                at, held = i + 1, 0
