@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, line_dedup, lz_fingerprint, packing, secrets, simhash
+from . import byte_bpe, exact_dedup, line_dedup, lz_fingerprint, packing, secrets, simhash, suffix_dedup
 from .common import documents
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(documents(spark, sf_dir)).drop("kept")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -40,7 +44,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_packing, op4_exact_dedup, op5_lz_fingerprint, op6_byte_bpe, op7_line_dedup, op8_simhash, op10_secrets)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op4_exact_dedup, op5_lz_fingerprint, op6_byte_bpe, op7_line_dedup, op8_simhash, op10_secrets)}
 
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": r"""
