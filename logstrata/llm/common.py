@@ -57,3 +57,15 @@ def parts(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa
             if held >= size or i + 1 == batch.num_rows:
                 yield batch.slice(at, i + 1 - at)
                 at, held = i + 1, 0
+
+
+def sampled(rows: DataFrame, label: str, most: int) -> DataFrame:
+    """About most rows of each value of label (all, where there are fewer), by the hash of doc_id: thresholds follow from the counts.
+
+    rows needs doc_id; at most 64 values, the most frequent, are taken."""
+    counts = rows.groupBy(label).count().where(F.col(label).isNotNull()).orderBy(F.desc("count"), label).limit(64).collect()
+    place = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20))
+    keep = F.lit(False)
+    for value, n in counts:
+        keep = keep | (F.col(label) == F.lit(value)) & (place < min(1 << 20, -(-(most << 20) // n)))
+    return rows.where(keep)
