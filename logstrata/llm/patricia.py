@@ -88,23 +88,24 @@ class PatriciaTrie:
         return total
 
     def _spill(self) -> None:
+        """Moves the heaviest subtree of at most half of what is held to a file. Its prefix is longer than what all strings share, so files get smaller subjects."""
         node, path = self.root, b""
-        while node.kids:
-            heavy = max(node.kids.values(), key=self._bytes)
-            if not heavy.kids:
-                break
-            if node is not self.root and self._bytes(heavy) < self.held // 2:
+        while True:
+            heavy = max((kid for kid in node.kids.values() if kid.kids), key=self._bytes, default=None)
+            if heavy is None:  # only single strings here: nothing that a subtree would save
+                self.budget *= 2
+                return
+            size = self._bytes(heavy)
+            if 2 * size <= self.held:
                 break
-            parent, node, path = node, heavy, path + heavy.label
-        if node is self.root:  # only single strings below the root: nothing that a subtree would save
-            self.budget *= 2
-            return
+            node, path = heavy, path + heavy.label
+        prefix = path + heavy.label
         file = tempfile.TemporaryFile()
-        for item in self._walk(node, path):
+        for item in self._walk(heavy, prefix):
             pickle.dump(item, file)
-        self.held -= self._bytes(node)
-        del parent.kids[node.label[0]]
-        self.spilled[path] = file
+        self.held -= size
+        del node.kids[heavy.label[0]]
+        self.spilled[prefix] = file
 
     def items(self) -> Iterator[tuple[bytes, int | None, int]]:
         """(string, smallest identifier, times inserted) of each distinct string."""
