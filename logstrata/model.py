@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tomllib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -31,6 +32,13 @@ class Config:
         """From a parsed configuration; unknown names are ignored, absent ones keep their default."""
         return cls(**{k: v for k, v in values.items() if k in cls.__dataclass_fields__})
 
+    @classmethod
+    def read(cls, path: str) -> Config:
+        """From a TOML file whose sections are merged."""
+        with open(path, "rb") as file:
+            made = tomllib.load(file)
+        return cls.of({k: v for section in made.values() if isinstance(section, dict) for k, v in section.items()} | made)
+
 
 def log_rows(df: DataFrame) -> DataFrame:
     """df as log rows: an empty value becomes a tombstone; rows with an empty or null key, or a version below 1, are an error."""

@@ -5,6 +5,8 @@ Order matters: a version bound filters before the newest version is chosen, the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,6 +71,11 @@ def matching(log: DataFrame, place: Column) -> DataFrame:
     return log.where(place == 0)
 
 
+def matching_function(log: DataFrame, place: Callable[[str], int]) -> DataFrame:
+    """matching with a Python function of the key; a column expression is faster and can be pushed down."""
+    return matching(log, F.pandas_udf(lambda keys: keys.map(place), "int")(F.col("key")))
+
+
 def get(log: DataFrame, key: str, version: int = 0) -> DataFrame:
     return as_of(log.where(F.col("key") == key), version)
 

@@ -17,8 +17,11 @@ _ROW = StructType([StructField("value", StringType()), StructField("version", Lo
 class _Newest(StatefulProcessor):
     """By version, not by arrival: a late older version changes nothing."""
 
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("held", _ROW)
+        self.held = handle.getValueState("held", _ROW, self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         old = self.held.get() if self.held.exists() else None
@@ -35,9 +38,9 @@ class _Newest(StatefulProcessor):
         pass
 
 
-def newest(log: DataFrame) -> DataFrame:
-    """key, value, version: an update for each key whose newest row has changed."""
-    return log.groupBy("key").transformWithStateInPandas(_Newest(), "key string, value string, version long", "update", "none")
+def newest(log: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """key, value, version: an update for each key whose newest row has changed. With ttl_ms, a key that no newer row renews is forgotten after that time."""
+    return log.groupBy("key").transformWithStateInPandas(_Newest(ttl_ms), "key string, value string, version long", "update", "processingTime" if ttl_ms else "none")
 
 
 _OP = StructType([StructField("seq", LongType()), StructField("op", StringType()), StructField("key", StringType()), StructField("value", StringType())])

@@ -117,3 +117,13 @@ def test_sizes(log):
     from pyspark.sql import functions as F
 
     assert log(*rows).agg(F.sum(merge.record_bytes())).first()[0] == 2 + 3 + 8 + 1 + 8
+
+
+def test_python_predicate_and_config(log, tmp_path):
+    from logstrata.model import Config
+
+    rows = log(*[(f"key{i:02d}", str(i), 1) for i in range(100)])
+    found = resolve.matching_function(rows, lambda k: 1 if int(k[3:]) < 20 else -1 if int(k[3:]) > 60 else 0)
+    assert found.count() == 41
+    (tmp_path / "c.toml").write_text("[sizes]\nrun_bytes = 5\n[other]\nname = 'x'\n")
+    assert Config.read(str(tmp_path / "c.toml")) == Config(run_bytes=5)

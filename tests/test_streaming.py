@@ -16,3 +16,19 @@ def test_ingest(spark, tmp_path):
     rows = spark.createDataFrame([(f"k{i % 7}", f"v{i}", i + 1) for i in range(70)], LOG)
     folds.ingest(_streamed(spark, rows), store).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     assert sorted(map(tuple, store.read().collect())) == sorted(map(tuple, latest(rows).collect()))
+
+
+def test_state_with_a_time_to_live(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "x", 1), ("a", "y", 2)], LOG)
+    stream = folds.newest(_streamed(spark, rows), ttl_ms=3_600_000)
+    out = str(tmp_path / "out")
+    run = stream.writeStream.outputMode("update").foreachBatch(lambda batch, n: batch.write.mode("append").parquet(out) if n == 0 else None)
+    run = run.option("checkpointLocation", str(tmp_path / "state")).start()  # timers go on: it is stopped, not drained
+    try:
+        for _ in range(60):
+            if (tmp_path / "out" / "_SUCCESS").exists():
+                break
+            run.awaitTermination(1)
+    finally:
+        run.stop()
+    assert [tuple(r) for r in spark.read.parquet(out).collect()] == [("a", "y", 2)]
