@@ -64,8 +64,8 @@ def sampled(rows: DataFrame, label: str, most: int) -> DataFrame:
 
     rows needs doc_id; at most 64 values, the most frequent, are taken."""
     counts = rows.groupBy(label).count().where(F.col(label).isNotNull()).orderBy(F.desc("count"), label).limit(64).collect()
-    place = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20))
+    place = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 40))
     keep = F.lit(False)
     for value, n in counts:
-        keep = keep | (F.col(label) == F.lit(value)) & (place < min(1 << 20, -(-(most << 20) // n)))
+        keep = keep | (F.col(label) == F.lit(value)) & (place < min(1 << 40, -(-(most << 40) // n)))
     return rows.where(keep)

@@ -253,15 +253,9 @@ def identify(docs: DataFrame, tagger: ByteTagger | None = None) -> DataFrame:
 def known_language(docs: DataFrame, least: float = 0.3, tagger: ByteTagger | None = None) -> DataFrame:
     """The rows of docs, all columns, whose text has a language: not `und`, and with a score of least or more."""
     tagger = tagger or train(docs)
-    columns = docs.columns
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
             langs, scores = predictions(tagger, batch["text"].to_pylist())
-            keep = [lang != "und" and score >= least for lang, score in zip(langs, scores, strict=True)]
-            yield batch.filter(pa.array(keep, pa.bool_())).drop_columns(["text"])
+            yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in zip(langs, scores, strict=True)], pa.bool_()))
 
-    filled = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    whole = filled.select(*[c for c in columns if c != "text"], F.col("text").alias("_body"), "text")
-    kept = whole.mapInArrow(run, whole.drop("text").schema)
-    return kept.select(*[F.col("_body").alias("text") if c == "text" else F.col(c) for c in columns])
+    return docs.withColumn("text", F.coalesce("text", F.lit(""))).mapInArrow(run, docs.schema)

@@ -15,6 +15,7 @@ first; rows with one doc_id are ordered by their text's hash. The last row's nex
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import LONG_MAX, texts
 
 SIZE = 64
+STEP = 128
 _MASK, _STEP = (1 << 64) - 1, 0x9E3779B97F4A7C15
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
@@ -113,15 +115,17 @@ def lz_fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row of docs."""
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = ranges or max(1, tasks) * 4
+    ranges = ranges or min(4 * max(1, tasks), 1 << 14)
     rows = texts(docs).withColumn("tie", F.xxhash64("text"))
-    cuts = rows.select(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)] or [0.5], 10_000)).first()[0] or []
+    cuts = rows.select(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)] or [0.5], 1 << 16)).first()[0] or []
     cuts = sorted(set(cuts))
     bucket = F.lit(0)
     if cuts:
-        bounds = F.array(*[F.lit(c).cast("long") for c in cuts])
-        # how many bounds are at most the id: null ids come first
-        bucket = F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce(F.size(F.filter(bounds, lambda c: c <= F.col("doc_id"))), F.lit(0)))
+        # how many bounds are at most the id, first among every STEP-th of them: null ids come first
+        every, bounds = (F.from_json(F.lit(json.dumps(x)), "array<bigint>") for x in (cuts[STEP - 1 :: STEP], cuts))
+        below = lambda c: c <= F.col("doc_id")
+        coarse = F.size(F.filter(every, below)) * STEP
+        bucket = F.when(F.col("doc_id").isNull(), 0).otherwise(coarse + F.size(F.filter(F.slice(bounds, coarse + 1, STEP), below)))
     rows = rows.withColumn("bucket", bucket)
     first = rows.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "tie")).alias("f")).select("bucket", "f.doc_id", "f.tie").orderBy("bucket").collect()
     heads = [(r["doc_id"], r["tie"], first[i - 1]["bucket"]) for i, r in enumerate(first)]  # as many as there are ranges
