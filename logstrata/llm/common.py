@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,6 +17,27 @@ from pyspark.sql import functions as F
 SPACE = " \t\n\x0b\f\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LONG_MAX = (1 << 63) - 1
+T = TypeVar("T")
+
+
+_held: tuple[object, object] | None = None
+
+
+def held(key: object, make: Callable[[], T]) -> T:
+    """What a worker remembers under key, made anew if it remembers something else: one operator's memory at a time."""
+    global _held
+    if _held is None or _held[0] != key:
+        release()
+        _held = key, make()
+    return _held[1]
+
+
+def release() -> None:
+    """Forgets it, and gives free memory back."""
+    global _held
+    _held = None
+    gc.collect()
+    pa.default_memory_pool().release_unused()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ document: the largest counts. Without labels of both kinds all scores are 0.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, parts, sampled, texts
+from .common import held, held_out, parts, sampled, texts
 
 DOCS, MEMO = 1200, 600_000
 PREFIXES = (4, 5, 6)
@@ -120,26 +121,45 @@ def _monotone(x: np.ndarray, y: np.ndarray) -> tuple[list[float], list[float]]:
     return knots, np.maximum.accumulate(levels).tolist()
 
 
+def _distinct(sample: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """sample without copies and near copies, whose words would seem frequent: of documents with a label that share one of three least word hashes, the first."""
+    seen, out = set(), []
+    for text, label in sample:
+        words = {w.strip(_EDGES).lower() for w in text.split()}
+        words = {w for w in words if len(w) >= 6} or words
+        keys = {(label, k, min((zlib.crc32(f"{k}{w}".encode()) for w in words), default=0)) for k in range(3)}
+        if not keys & seen:
+            out.append((text, label))
+        seen |= keys
+    return out
+
+
 def fit(sample: list[tuple[str, int]], steps: int = 60, window: int = 64) -> Field:
     """A field from (text, label)."""
+    sample = _distinct(sample)
     toxic, other = sum(y for _, y in sample), sum(1 - y for _, y in sample)
     if not toxic or not other:
         return Field()
     words = [t.split() for t, _ in sample]
     distinct = {w: features(w) for w in {w for ws in words for w in ws}}
-    counts = (Counter(), Counter())
+    # documents with the feature once or more, and with it twice or more: some stems also occur, once, in ordinary texts
+    counts, twice = (Counter(), Counter()), (Counter(), Counter())
     for ws, (_, y) in zip(words, sample, strict=True):
-        counts[y].update({f for w in set(ws) for f in distinct[w]})
-
+        own = Counter(f for w in ws for f in distinct[w])
+        counts[y].update(own.keys())
+        twice[y].update(f for f, n in own.items() if n > 1)
     bar = 2 * np.log(max(2, len(counts[1])))  # the more features, the more chance finds
 
-    def marks(f: str) -> bool:
-        k, j, n = counts[1][f], counts[0][f], toxic + other
+    def separates(k: int, j: int) -> bool:
+        n = toxic + other
         if k < 2 or k / toxic < 5 * (j + 0.5) / other:
             return False
         cells = ((k, (k + j) * toxic / n), (j, (k + j) * other / n), (toxic - k, (n - k - j) * toxic / n), (other - j, (n - k - j) * other / n))
         return 2 * sum(o * np.log(o / e) for o, e in cells if o) >= bar
 
+    def marks(f: str) -> bool:
+        return separates(counts[1][f], counts[0][f]) or separates(twice[1][f], twice[0][f])
+
     seeds = sorted(f for f in counts[1] if marks(f))
     if not seeds:
         return Field()
@@ -217,18 +237,11 @@ def train(docs: DataFrame, labels: DataFrame, docs_each: int = DOCS) -> Field:
 
 
 class _Reader:
-    last: tuple[tuple, _Reader] | None = None
+    """A worker's memory of words."""
 
     def __init__(self, model: Field):
         self.model, self.memo = model, {}
 
-    @classmethod
-    def of(cls, model: Field) -> _Reader:
-        mark = (model.bias, model.judge, len(model.weights), model.moves)
-        if cls.last is None or cls.last[0] != mark:
-            cls.last = mark, cls(model)
-        return cls.last[1]
-
     def odds(self, words: list[str]) -> np.ndarray:
         memo, odds = self.memo, self.model.odds
         got = list(map(memo.get, words))
@@ -242,7 +255,7 @@ class _Reader:
 
 def scores(model: Field, texts: list[str]) -> tuple[list[float], list[np.ndarray]]:
     """Score of each text, and the probabilities of its words."""
-    reader = _Reader.of(model)
+    reader = held(("toxicity", model.bias, model.judge, len(model.weights)), lambda: _Reader(model))
     ps = _expected(model, [reader.odds(t.split()) for t in texts])
     stats = np.array([_stats(p) for p in ps]).reshape(-1, 3)
     return np.interp(stats @ np.array(model.judge), model.knots, model.levels).tolist(), ps
