@@ -36,10 +36,12 @@ from .common import LONG_MAX, cut, parts, texts
 GRAM = 48
 #: Contents of an anchor up to which suffixes are compared; beyond, windows are; and beyond SPLIT, over all tasks.
 SORTED, SPLIT = 192, 20_000
-_CHUNK = 1 << 23
+#: Bytes that are hashed together.
+_CHUNK = 1 << 21
 _BASE = 0x9E3779B97F4A7C15 | 1
 _LOW = np.uint64((1 << 24) - 1)
-_BLOCKS = pa.schema([("did", pa.int64()), ("rid", pa.int64()), ("anchor", pa.int64()), ("content", pa.int64()), ("at", pa.int64()), ("run", pa.int32()), ("d", pa.int32())])
+_PLACES = pa.list_(pa.struct([("did", pa.int64()), ("rid", pa.int64()), ("at", pa.int64())]))
+_BLOCKS = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("shape", pa.int32()), ("did", pa.int64()), ("rid", pa.int64()), ("at", pa.int64()), ("more", _PLACES)])
 _BODIES = pa.schema([("anchor", pa.int64()), ("n", pa.int64()), ("did", pa.int64()), ("rid", pa.int64()), ("at", pa.int64()), ("run", pa.int32()), ("d", pa.int32()), ("body", pa.binary())])
 _RANGES = pa.schema([("did", pa.int64()), ("rid", pa.int64()), ("s", pa.int64()), ("e", pa.int64())])
 
@@ -58,7 +60,7 @@ class Prefixes:
     def __init__(self, data: bytes):
         self.data = np.frombuffer(data, dtype=np.uint8)
         size = 1 << max(16, (len(data) + 1).bit_length())
-        power, self.back = _powers(max(size, _CHUNK * 2))
+        power, self.back = _powers(max(size, 1 << 22))
         self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=self.sums[1:])
 
@@ -102,8 +104,8 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def blocks(pieces: list[bytes], length: int) -> Iterator[tuple[int, int, int, int, int, int]]:
-    """(piece, anchor hash, content hash, start, windows, anchor's distance from start) of each block of each piece."""
+def blocks(pieces: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+    """piece, anchor hash, content hash, start in the piece, windows, anchor's distance from start: of each block of each piece."""
     starts = np.cumsum([0] + [len(p) for p in pieces])
     data = b"".join(pieces)
     prefixes = Prefixes(data)
@@ -115,16 +117,18 @@ def blocks(pieces: list[bytes], length: int) -> Iterator[tuple[int, int, int, in
     first = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]]))
     at, run, anchor = windows[first], np.diff(np.append(first, len(windows))), anchors[first]
     owner = np.searchsorted(starts, at, side="right") - 1
-    marks = grams[anchor].view(np.int64)
+    d = anchor - at
     digest = xxhash.xxh64_intdigest
-    for i, m, a, r, d in zip(owner.tolist(), marks.tolist(), at.tolist(), run.tolist(), (anchor - at).tolist(), strict=True):
-        yield i, m, digest(data[a : a + r - 1 + length], d) - (1 << 63), a - int(starts[i]), r, d
+    content = np.array([digest(data[a:b], k) for a, b, k in zip(at.tolist(), (at + run - 1 + length).tolist(), d.tolist(), strict=True)], dtype=np.uint64)
+    return owner, grams[anchor].view(np.int64), content.view(np.int64), at - starts[owner], run, d
 
 
 def _block_rows(length: int):
+    """Equal blocks of a batch leave as one row with all their places, so that what is common doesn't weigh on one key."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(batches):
-            ids, rids = batch["did"].to_pylist(), batch["rid"].to_pylist()
+        for batch in parts(batches, _CHUNK):
+            dids, rids = (np.array(batch[c].to_pylist(), dtype=np.int64) for c in ("did", "rid"))
             todo: list[tuple[int, int, bytes]] = []  # row, place of the piece in it, piece
             for i, text in enumerate(batch["text"]):
                 raw = text.as_buffer()
@@ -138,9 +142,22 @@ def _block_rows(length: int):
                 some = [x for x in some if len(x[2]) >= length]
                 if not some:
                     continue
-                out = [(ids[some[k][0]], rids[some[k][0]], m, c, some[k][1] + a, r, d) for k, m, c, a, r, d in blocks([x[2] for x in some], length)]
-                for at in range(0, len(out), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[at : at + 50_000], strict=True), _BLOCKS, strict=True)], schema=_BLOCKS)
+                piece, anchor, content, at, runs, d = blocks([x[2] for x in some], length)
+                row, base = np.array([x[0] for x in some]), np.array([x[1] for x in some])
+                order = np.lexsort((content, anchor))
+                anchor, content = anchor[order], content[order]
+                first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])]))
+                row, at = row[piece[order]], (at + base[piece])[order]
+                # the first place stands in columns; others, which most blocks don't have, in a list
+                other = np.ones(len(order), dtype=bool)
+                other[first] = False
+                places = pa.StructArray.from_arrays([pa.array(dids[row[other]]), pa.array(rids[row[other]]), pa.array(at[other])], names=["did", "rid", "at"])
+                counts = np.diff(np.append(first, len(order))) - 1
+                ends = np.append(0, np.cumsum(counts))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.append(counts == 0, False)), places)
+                own = row[first]
+                out = [pa.array(x) for x in (anchor[first], content[first], (runs * 65536 + d)[order][first].astype(np.int32), dids[own], rids[own], at[first])]
+                yield pa.RecordBatch.from_arrays([*out, lists.cast(_PLACES)], schema=_BLOCKS)
 
     return run
 
@@ -360,15 +377,18 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_ranges(docs: DataFrame, length: int = 200, small: int = SORTED, split: int = SPLIT) -> DataFrame:
     """did, rid, s, e: ranges of bytes of the documents that _rows has, which cover what repeats."""
     rows = _rows(docs)
-    made = rows.select("did", "rid", "text").mapInArrow(_block_rows(length), "did long, rid long, anchor long, content long, at long, run int, d int")
-    twice = made.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    columns = "anchor long, content long, shape int, did long, rid long, at long, more array<struct<did: long, rid: long, at: long>>"
+    made = rows.select("did", "rid", "text").mapInArrow(_block_rows(length), columns)
+    number = F.sum(1 + F.coalesce(F.size("more"), F.lit(0))).alias("n")
+    twice = made.groupBy("anchor").agg(number).where("n > 1").select("anchor")
     known = cut(made.join(twice, "anchor"))
-    place = F.struct("did", "rid", "at", "run", "d")
-    contents = known.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(place).alias("p"))
+    contents = known.groupBy("anchor", "content").agg(number, F.min(F.struct("shape", "did", "rid", "at")).alias("p"))
     whole = known.join(contents.where("n > 1").select("anchor", "content"), ["anchor", "content"])
-    out = whole.select("did", "rid", F.col("at").alias("s"), (F.col("at") + F.col("run") - 1 + length).alias("e"))
+    places = F.concat(F.array(F.struct("did", "rid", "at")), F.coalesce("more", F.array().cast("array<struct<did: long, rid: long, at: long>>")))
+    whole = whole.select(F.expr("shape div 65536").alias("run"), F.explode(places).alias("p"))
+    out = whole.select("p.did", "p.rid", F.col("p.at").alias("s"), (F.col("p.at") + F.col("run") - 1 + length).alias("e"))
     several = cut(contents.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"))
-    some = contents.join(several, "anchor").select("anchor", "n", "p.*", "kinds")
+    some = contents.join(several, "anchor").select("anchor", "n", "p.did", "p.rid", "p.at", F.expr("p.shape div 65536").cast("int").alias("run"), F.expr("p.shape % 65536").cast("int").alias("d"), "kinds")
     wanted = some.groupBy("did", "rid").agg(F.collect_list(F.struct("anchor", "n", "at", "run", "d", "kinds")).alias("wanted"))
 
     def fetched(keep: str) -> DataFrame:

@@ -91,7 +91,7 @@ def test_suffix_dedup_steps_through_long_texts(spark, monkeypatch):
     rows = [(1, long), (2, "zz" + long[1000:5000])]
     monkeypatch.setattr(suffix_dedup, "_CHUNK", 1500)
     pieces = [b for b in suffix_dedup._block_rows(200)(iter([__import__("pyarrow").RecordBatch.from_pydict({"did": [i for i, _ in rows], "rid": [i for i, _ in rows], "text": [t for _, t in rows]})]))]
-    windows = sum(sum(b["run"].to_pylist()) for b in pieces)
+    windows = sum(x // 65536 * (1 + len(more or [])) for b in pieces for x, more in zip(b["shape"].to_pylist(), b["more"].to_pylist(), strict=True))
     assert windows == sum(len(t) - 199 for _, t in rows)
 
 
