@@ -27,15 +27,15 @@ def kv_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """kv_log with run_id and level: the newer half of the runs is level 0."""
     log = kv_log(spark, sf_dir).withColumn("run_id", F.expr(f"(version - 1) div {RUN_ROWS}"))
-    last = log.agg(F.max("run_id").alias("last"))
-    return log.join(F.broadcast(last)).withColumn("level", F.when(F.col("run_id") * 2 > F.col("last"), 0).otherwise(1)).withColumn("newest", F.col("run_id") == F.col("last")).drop("last")
+    last = log.agg(F.max("run_id")).scalar()
+    return log.withColumn("level", F.when(F.col("run_id") * 2 > last, 0).otherwise(1)).withColumn("newest", F.col("run_id") == last)
 
 
 def txns(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = events(spark, sf_dir).select(F.expr(f"event_id div {TXN_ROWS} + 1").alias("txn_id")).distinct()
-    last = F.broadcast(ids.agg(F.max("txn_id").alias("last")))
-    state = F.when(F.col("txn_id") == F.col("last"), "ACTIVE").when(F.col("txn_id") % 5 == 0, "ABORTED").otherwise("COMMITTED")
-    return ids.join(last).select("txn_id", state.alias("state"), (F.col("txn_id") + 2 * (F.col("txn_id") % 3)).alias("commit_pos"))
+    last = ids.agg(F.max("txn_id")).scalar()
+    state = F.when(F.col("txn_id") == last, "ACTIVE").when(F.col("txn_id") % 5 == 0, "ABORTED").otherwise("COMMITTED")
+    return ids.select("txn_id", state.alias("state"), (F.col("txn_id") + 2 * (F.col("txn_id") % 3)).alias("commit_pos"))
 
 
 def ops(spark: SparkSession, sf_dir: str) -> DataFrame:

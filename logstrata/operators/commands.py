@@ -284,5 +284,5 @@ def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def lists(log: DataFrame) -> DataFrame:
     """key, pos, value of the lists that the log leaves."""
     held = by_key(log).repartition("key").sortWithinPartitions("key", "epoch", "seq").mapInArrow(_left, "key string, epoch long, pos long, value string")
-    now = log.agg(F.coalesce(F.sum(F.when(F.col("cmd") == "FLUSHALL", 1)), F.lit(0)).alias("epoch"))
-    return held.join(F.broadcast(now), "epoch").select("key", "pos", "value")
+    now = log.agg(F.count_if(F.col("cmd") == "FLUSHALL")).scalar()
+    return held.where(F.col("epoch") == now).select("key", "pos", "value")

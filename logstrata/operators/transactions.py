@@ -89,8 +89,8 @@ def replay(wal: DataFrame, checkpoint: int = 0, flushed: DataFrame | None = None
 def removable_files(wal: DataFrame, checkpoint: int) -> DataFrame:
     """file, max_txn of WAL files (column file, numbered) that are not the last and hold nothing above the checkpoint."""
     files = wal.groupBy("file").agg(F.max("txn_id").alias("max_txn"))
-    last = files.agg(F.max("file").alias("last"))
-    return files.where(F.col("max_txn") <= checkpoint).join(F.broadcast(last), F.col("file") < F.col("last")).select("file", "max_txn")
+    last = files.agg(F.max("file")).scalar()
+    return files.where((F.col("max_txn") <= checkpoint) & (F.col("file") < last)).select("file", "max_txn")
 
 
 def checkpoint_id(finished: DataFrame) -> DataFrame:
@@ -101,7 +101,7 @@ def checkpoint_id(finished: DataFrame) -> DataFrame:
 
 def compressed_ids(finished: DataFrame) -> DataFrame:
     """The finished ids with the leading consecutive ones collapsed to their last."""
-    return finished.select("txn_id").distinct().join(F.broadcast(checkpoint_id(finished)), F.col("txn_id") >= F.col("checkpoint")).select("txn_id")
+    return finished.select("txn_id").distinct().where(F.col("txn_id") >= checkpoint_id(finished).scalar())
 
 
 def watermark(txns: DataFrame) -> DataFrame:

@@ -84,8 +84,7 @@ def sst_only_get(spark, sf_dir):
 @query(sql(f"SELECT key, value, version FROM (SELECT * FROM runs WHERE newest AND version <= (SELECT max(version) - 100 FROM runs) QUALIFY {NEWEST}) WHERE value IS NOT NULL", "runs"))
 def memtable_scan(spark, sf_dir):
     rows = fx.runs(spark, sf_dir).where("newest").select("key", "value", "version")
-    bound = F.broadcast(rows.agg((F.max("version") - 100).alias("bound")))
-    return resolve.latest(rows.join(bound, F.col("version") <= F.col("bound")).drop("bound"))
+    return resolve.latest(rows.where(F.col("version") <= rows.agg(F.max("version") - 100).scalar()))
 
 
 @query(sql(f"SELECT key, value, version, run_id FROM runs WHERE level = 1 QUALIFY row_number() OVER (PARTITION BY run_id, key ORDER BY version DESC) = 1", "runs"))
@@ -163,8 +162,8 @@ def write_batch(spark, sf_dir):
     from .model import log_rows
 
     log = fx.kv_log(spark, sf_dir)
-    top = F.broadcast(log.agg(F.max("version").alias("top")))
-    added = spark.createDataFrame(_NEW, "key string, value string, n long").join(top).select("key", "value", (F.col("n") + F.col("top")).alias("version"))
+    top = log.agg(F.max("version")).scalar()
+    added = spark.createDataFrame(_NEW, "key string, value string, n long").select("key", "value", (F.col("n") + top).alias("version"))
     return resolve.latest(log.unionByName(log_rows(added)))
 
 
