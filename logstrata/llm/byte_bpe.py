@@ -15,14 +15,13 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import islice
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import parts, texts
+from .common import held, parts, texts
 
 #: Most pieces that are remembered, and the longest, in characters.
 MEMO, MEMO_CHARS = 700_000, 64
@@ -198,9 +197,8 @@ class ByteBpe:
             yield joined.count(" ") + 1 if joined else 0, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(b"".join([x[1] for x in found])).hexdigest()
 
 
-@lru_cache(maxsize=2)
 def tokenizer(path: str, pattern: str) -> ByteBpe:
-    return ByteBpe(path, pattern)
+    return held(("byte_bpe", path, pattern), lambda: ByteBpe(path, pattern))
 
 
 def bpe_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:

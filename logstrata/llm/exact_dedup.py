@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import parts, release, texts
 from .patricia import PatriciaTrie
 
 _SPACES = frozenset(b" \t\n\x0b\x0c\r")
@@ -42,8 +42,9 @@ def _content_hash(body: bytes) -> int:
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        trie = PatriciaTrie(budget=1 << 62)  # bounded by the batch
+    release()
+    for batch in parts(batches, 16 << 20):
+        trie = PatriciaTrie(budget=1 << 62)  # bounded by the slice
         for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
             trie.insert(normalise(text.as_py()), doc_id)
         rows = [(len(k), _content_hash(k), k, owner, n) for k, owner, n in trie.items()]
@@ -76,7 +77,7 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in parts(batches):
         sha = pa.array([hashlib.sha256(normalise(t.as_py())).digest() for t in batch["text"]], pa.binary())
         yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["rid"], sha], schema=_KEYS)
 

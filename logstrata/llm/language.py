@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, parts, sampled
+from .common import held, held_out, parts, sampled
 
 DOCS, TOKENS, CHARS = 150, 48_000, 20_000
-WIDTH, HIDDEN, MEMO = 24, 16, 600_000
+WIDTH, HIDDEN, MEMO = 24, 16, 400_000
 _OUT = "doc_id long, held_out boolean, lang_pred string, score double"
 _EDGES = " \t\n\x0b\f\r.,;:!?()[]{}<>\"'*%$#&=+-_/\\|~`^@0123456789"
 _STEP = re.compile(r"(?s).{1,1000000}(?:\s|$)|.{1,1000000}")
@@ -170,21 +170,12 @@ def train(docs: DataFrame, docs_each: int = DOCS, tokens: int = TOKENS) -> ByteT
 
 
 class _Reader:
-    """A worker's memory of words. One at a time is kept, by model."""
-
-    last: tuple[bytes, _Reader] | None = None
+    """A worker's memory of words."""
 
     def __init__(self, tagger: ByteTagger):
         self.tagger, self.memo = tagger, {}
         self.table = np.zeros((1 << 12, len(tagger.languages) + 1))
 
-    @classmethod
-    def of(cls, tagger: ByteTagger) -> _Reader:
-        mark = tagger.out.tobytes()
-        if cls.last is None or cls.last[0] != mark:
-            cls.last = mark, cls(tagger)
-        return cls.last[1]
-
     def _learn(self, fresh: list[str]) -> np.ndarray:
         read = [normal(w) for w in fresh]
         distinct = list({w for w in read if w})
@@ -218,7 +209,7 @@ def predictions(tagger: ByteTagger | None, texts: list[str]) -> tuple[list[str],
     """Language and score of each text."""
     if tagger is None:
         return ["und"] * len(texts), [0.0] * len(texts)
-    reader = _Reader.of(tagger)
+    reader = held(("language", tagger.out.tobytes()), lambda: _Reader(tagger))
     whole = [[t] if len(t) <= 1_000_000 else _STEP.findall(t) for t in texts]
     sums = reader.sums([t.split() if len(t) <= 1_000_000 else [] for t in texts])
     for k, steps in enumerate(whole):

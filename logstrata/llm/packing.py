@@ -20,7 +20,6 @@ import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +27,13 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import parts, texts
+from .common import held, parts, texts
 
 #: Items that are packed together; more waste less and cost more.
 GROUP = 1024
 #: Python's split() also cuts at these, which the tokenizer doesn't take for white space.
 _ODD, _WORDS = re.compile("[\x1c-\x1f]"), regex.compile(r"\S+")
-MEMO = 1_000_000
+MEMO = 600_000
 _OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
@@ -185,9 +184,8 @@ class WordIds:
             yield b"".join(ids if None not in ids else [learnt[w] if x is None else x for w, x in zip(words, ids, strict=True)])
 
 
-@lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+    return held(("packing", path), lambda: WordIds(path))
 
 
 def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 2, piece: int = 1024, group: int = GROUP) -> DataFrame:

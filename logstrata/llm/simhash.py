@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, parts, texts
+from .common import cut, parts, release, texts
 
 LIMIT = 4
 WIDTHS = (13, 13, 13, 13, 12)
@@ -72,6 +72,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long) of every row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in parts(batches):
             fps = np.array([fingerprint(t.as_py()) for t in batch["text"]], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
