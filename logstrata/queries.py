@@ -523,8 +523,9 @@ def list_len(spark, sf_dir):
 @query(sql("""SELECT key, pos, value FROM (SELECT key, value, row_number() OVER (PARTITION BY key ORDER BY CASE WHEN cmd = 'LPUSH' THEN -seq ELSE seq END) - 1 AS pos, count(*) OVER (PARTITION BY key) AS size
     FROM cl WHERE cmd IN ('LPUSH', 'RPUSH')) WHERE pos >= 1 AND pos <= size - 2""", "cl"))
 def list_range(spark, sf_dir):
-    pushed = typed.pushed_lists(fx.commands(spark, sf_dir, "list"))
-    return typed.index_range(pushed.withColumnRenamed("pos", "rank"), 1, -2).select("key", F.col("rank").alias("pos"), "value")
+    held = commands.lists(fx.commands(spark, sf_dir, "list"))
+    sizes = held.groupBy("key").agg(F.count("*").alias("size"))
+    return typed.index_range(held.join(sizes, "key").withColumnRenamed("pos", "rank"), 1, -2).select("key", F.col("rank").alias("pos"), "value")
 
 
 @query()
