@@ -24,3 +24,13 @@ def test_list_range_folds_pops(spark, sf_dir, events):
     want = [(k, pos, v) for k, values in held.items() for pos, v in enumerate(values) if 1 <= pos <= len(values) - 2]
     got = [(r["key"], r["pos"], r["value"]) for r in QUERIES["list_range"](spark, sf_dir).collect()]
     assert want and sorted(got) == sorted(want)
+
+
+def test_flushall_epoch_has_every_increment(spark, sf_dir, events):
+    want, epoch = [], 0
+    for r in events:
+        if r["event_type"] == "click":
+            want.append((r["key"], r["version"], "INCR", epoch))
+        epoch += r["event_type"] == "signup" and r["event_id"] % 100 == 0
+    got = [tuple(r[c] for c in ("key", "seq", "cmd", "epoch")) for r in QUERIES["flushall_epoch"](spark, sf_dir).collect()]
+    assert want and sorted(got) == sorted(want)
