@@ -105,7 +105,7 @@ def multi_get(spark, sf_dir):
 @query(sql("""SELECT e.event_id AS probe_id, p.key, e.event_id // 2 AS probe_version, l.value, coalesce(l.version, 0) AS version FROM events e JOIN log p ON p.version = e.event_id + 1
     LEFT JOIN log l ON l.key = p.key AND l.version = (SELECT max(version) FROM log x WHERE x.key = p.key AND x.version <= e.event_id // 2) WHERE e.event_id % 10 = 0""", "log"))
 def as_of_probe_join(spark, sf_dir):
-    probes = fx.events(spark, sf_dir).where("event_id % 10 = 0").select(F.col("event_id").alias("probe_id"), "key", F.expr("event_id div 2").alias("version"))
+    probes = fx.events(spark, sf_dir).select(F.col("event_id").alias("probe_id"), "key", F.expr("event_id div 2").alias("version"))
     return resolve.probe(fx.kv_log(spark, sf_dir), probes, width=1000).withColumn("version", F.coalesce("version", F.lit(0)))
 
 

@@ -34,3 +34,14 @@ def test_flushall_epoch_has_every_increment(spark, sf_dir, events):
         epoch += r["event_type"] == "signup" and r["event_id"] % 100 == 0
     got = [tuple(r[c] for c in ("key", "seq", "cmd", "epoch")) for r in QUERIES["flushall_epoch"](spark, sf_dir).collect()]
     assert want and sorted(got) == sorted(want)
+
+
+def test_as_of_probe_join_has_every_probe(spark, sf_dir, events):
+    want = []
+    for r in events:
+        at = r["event_id"] // 2
+        seen = [x for x in events if x["key"] == r["key"] and x["version"] <= at]
+        value = seen[-1]["props"] if seen and seen[-1]["event_type"] != "error" else None
+        want.append((r["event_id"], r["key"], at, value, seen[-1]["version"] if seen else 0))
+    got = [tuple(r[c] for c in ("probe_id", "key", "probe_version", "value", "version")) for r in QUERIES["as_of_probe_join"](spark, sf_dir).collect()]
+    assert want and sorted(got, key=repr) == sorted(want, key=repr)
