@@ -1,7 +1,7 @@
 """A pipeline from documents to packed sequences. Counted as part of the subpackage of text operators.
 
-1. language: documents without a language go. 2. exact: of equal texts, one stays. 3. near: of each component of near-duplicates, one
-stays. 4. secrets: secrets are masked; every document stays. 5. packing: token sequences of what is left.
+1. language: documents without a language go. 2. exact: of equal texts, one stays. 3. near: of each component of near-duplicates (5-word
+shingles, Jaccard similarity 0.8 or more), one stays. 4. secrets: secrets are masked; every document stays. 5. packing: token sequences of what is left.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from logstrata.llm import exact_dedup, language, packing, secrets, simhash
+from logstrata.llm import exact_dedup, language, near_copies, packing, secrets
 from logstrata.llm.common import documents
 
 
@@ -25,7 +25,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.representatives(docs)
+    return near_copies.representatives(docs)
 
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

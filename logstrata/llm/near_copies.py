@@ -1,0 +1,152 @@
+"""Near copies by Jaccard similarity, for the pipeline: two texts link if the sets of their 5-word shingles have similarity 0.8 or more.
+
+Candidates come from MinHash: BANDS keys of ROWS minima each, so that a pair at 0.8 misses all keys with probability (1 - 0.8^4)^32, or
+5e-8, and at 0.9 with 1e-15. Every link is then checked on the shingle sets themselves. Texts with equal sets fold into one node first.
+Keys with the same members count once, and only members of such groups have their text moved; a group's links leave as local components,
+never as all pairs. Groups of more than BLOCK texts are dealt as pairs of blocks over many tasks.
+
+Texts of one to four words are one shingle; texts without words are copies of each other.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import cut, parts, release, texts
+from .simhash import components
+
+WORDS = 5
+#: Similarity as a fraction: intersection over union of at least 4 / 5.
+NEAR = (4, 5)
+BANDS, ROWS = 32, 4
+#: Most texts of a group that one task compares with another such block.
+BLOCK = 1024
+
+_RNG = np.random.default_rng(8)
+_A = _RNG.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_B = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
+
+
+def shingles(text: str) -> np.ndarray:
+    """The sorted, distinct XXH64 of the shingles."""
+    tokens = text.encode().lower().split()
+    if not tokens:
+        return np.zeros(0, dtype=np.uint64)
+    n = max(1, len(tokens) - WORDS + 1)
+    whole = b" ".join(tokens)
+    ends = np.cumsum(np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens)) + 1) - 1
+    stops = ends[WORDS - 1 :].tolist() or [len(whole)]
+    starts = [0, *(ends[: n - 1] + 1).tolist()]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(whole[a:b], 42) for a, b in zip(starts, stops, strict=True)], dtype=np.uint64))
+
+
+def band_keys(marks: np.ndarray) -> np.ndarray:
+    """A key for each band, as signed longs; none for an empty set."""
+    if not len(marks):
+        return np.zeros(0, dtype=np.int64)
+    low = np.full(BANDS * ROWS, (1 << 32) - 1, dtype=np.uint32)
+    short = (marks >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(short), 1 << 11):
+        low = np.minimum(low, (short[None, at : at + (1 << 11)] * _A[:, None] + _B[:, None]).min(axis=1))
+    bands = low.reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(bands)], dtype=np.uint64).view(np.int64)
+
+
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
+    for batch in parts(batches):
+        fps, keys = [], []
+        for t in batch["text"]:
+            marks = shingles(t.as_py())
+            fps.append(xxhash.xxh64_intdigest(marks.tobytes()))
+            keys.append(band_keys(marks))
+        ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)))
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["rid"], pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), lists], names=["doc_id", "rid", "fp", "keys"])
+
+
+def joined(fps: list[int], bodies: list[str]) -> tuple[list[int], list[int]]:
+    """(member, first member) of each component of two or more texts, less the first itself."""
+    fps, bodies = zip(*dict(zip(fps, bodies, strict=True)).items(), strict=True)
+    sets = [shingles(t) for t in bodies]
+    sizes = np.array([len(s) for s in sets])
+    places = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum(sizes)[:-1])
+    seen = np.zeros(int(sizes.sum()), dtype=bool)
+    left, a, b = np.arange(len(sets)), [], []
+    while len(left) > 1:
+        root, left = int(left[0]), left[1:]
+        front, flat = [root], None
+        while front and len(left):
+            at = front.pop()
+            if flat is None:
+                flat = np.concatenate([places[i] for i in left])
+                starts = np.concatenate([[0], np.cumsum(sizes[left])[:-1]])
+            seen[places[at]] = True
+            both = np.add.reduceat(seen[flat].astype(np.int64), starts)
+            seen[places[at]] = False
+            hit = both * (NEAR[0] + NEAR[1]) >= NEAR[0] * (sizes[left] + sizes[at])
+            if hit.any():
+                new, left, flat = left[hit].tolist(), left[~hit], None
+                front += new
+                a += [fps[i] for i in new]
+                b += [fps[root]] * len(new)
+    return a, b
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by key and block; a group's rows may go on in the next batch."""
+    release()
+    key, fps, bodies = None, [], []
+
+    def links() -> Iterator[pa.RecordBatch]:
+        if len(fps) > 1:
+            a, b = joined(fps, bodies)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["u", "v"])
+
+    for batch in batches:
+        for k, block, fp, body in zip(batch["key"].to_pylist(), batch["block"].to_pylist(), batch["fp"].to_pylist(), batch["text"], strict=True):
+            if (k, block) != key:
+                yield from links()
+                key, fps, bodies = (k, block), [], []
+            fps.append(fp)
+            bodies.append(body.as_py())
+    yield from links()
+
+
+def similar(nodes: DataFrame, bodies: DataFrame, block: int = BLOCK) -> DataFrame:
+    """u, v: links that join nodes (fp, keys; fp distinct) into components. bodies: fp, text of at least the nodes that share a key."""
+    keyed = nodes.select("fp", F.explode("keys").alias("key"))
+    groups = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("mix"), F.min("fp").alias("first")).where("n > 1")
+    members = cut(keyed.join(groups.groupBy("n", "mix", "first").agg(F.min("key").alias("key")).select("key", "n"), "key"))
+    blocks = members.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.expr("pmod(xxhash64(fp), blocks)").cast("int"))
+    met = blocks.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    spread = met.select("key", "fp", F.expr("least(own, other) * blocks + greatest(own, other)").alias("block"))
+    texted = bodies.join(members.select("fp").distinct(), "fp", "left_semi")
+    dealt = spread.join(texted, "fp").repartition("key", "block").sortWithinPartitions("key", "block").select("key", "block", "fp", "text")
+    return dealt.mapInArrow(_links, "u long, v long").distinct()
+
+
+def representatives(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """One document of each component, the one with the smallest doc_id, with all columns of docs. Rows equal in doc_id and text stay together."""
+    rid = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    marked = cut(texts(docs).withColumn("rid", rid).mapInArrow(_mark, "doc_id long, rid long, fp long, keys array<long>"))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
+    nodes = marked.groupBy("fp").agg(F.min(row).alias("row"), F.first("keys").alias("keys"))
+    nodes = cut(nodes)
+
+    def of(rows: DataFrame) -> DataFrame:
+        return rows.select("fp", F.col("row.doc_id").alias("_id"), F.col("row.rid").alias("_rid"))
+
+    own = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (rid == F.col("_rid"))
+    shared = nodes.where(F.size("keys") > 0)
+    bodies = docs.select("doc_id", "text").join(of(shared), own).select("fp", F.coalesce("text", F.lit("")).alias("text"))
+    labels = components(nodes, cut(similar(shared.select("fp", "keys"), bodies, block)))
+    rooted = nodes.join(labels.withColumnRenamed("u", "fp"), "fp", "left").select("row", F.coalesce("label", "fp").alias("fp"))
+    return docs.join(of(rooted.groupBy("fp").agg(F.min("row").alias("row"))).drop("fp"), own, "left_semi")

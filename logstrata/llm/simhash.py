@@ -198,9 +198,3 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of = rooted.join(ids, "root").select("fp", "component_id")
     return marked.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def representatives(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id, with all columns of docs."""
-    stay = near_dedup(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"))
-    return docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
