@@ -1,12 +1,16 @@
 """Exact dedup by Patricia-trie owners.
 
-Texts are normalised (each run of white space becomes one space). Every map task folds its batch into a trie, so a text that fills a
-third of the corpus leaves a task once. What is left is dealt by (length, content hash) and inserted, whole, into the tries that
-decide: a terminal node keeps the smallest doc_id and the number of rows. Documents then meet their owner by the SHA-256 of the
-normalised text, a join without aggregation above it, whose hot keys Spark splits.
-
-Null text counts as empty. A null doc_id never owns a text unless all rows of the group have none. Repeated rows (equal text and equal
-smallest doc_id) are all marked kept, since nothing tells them apart; `representatives` returns one of them.
+Texts are normalised (each run of white space becomes one space). Every map task inserts its texts into one trie, so a text that fills a
+third of the corpus leaves a task once. What is left is dealt by (length, content hash), many texts to a partition, and each partition
+inserts its full byte strings into one trie, which decides: a terminal node keeps the smallest doc_id and the numbers of rows. Both
+tries have a budget and spill by subtree beyond it. So that a long text which every task has doesn't meet in one trie as often as there are
+tasks, tasks are taken together in blocks of as many as bring COPIES bytes of it; what the tries of several blocks say of a text is
+merged by its SHA-256, an aggregate without bodies. Documents then meet their owner by the SHA-256 of the normalised text, a join
+without aggregation above it, whose hot keys Spark splits.
+
+Null text counts as empty. A null doc_id never owns a text unless all rows of the group have none. Of rows with the smallest doc_id but
+different texts (before white space is normalised), the one with the least hash stays; of repeated rows (equal doc_id and text) just one
+stays. Extra columns don't matter, whatever their names; `representatives` keeps them.
 """
 
 from __future__ import annotations
@@ -16,18 +20,27 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, release, texts
+from .common import cut, only, parts, raw_hash, release, texts
 from .patricia import PatriciaTrie
 
+#: Bytes that a trie holds before it spills.
+BUDGET = 48 << 20
+#: Most bytes of copies of one text that one trie is sent.
+COPIES = 256 << 20
 _SPACES = frozenset(b" \t\n\x0b\x0c\r")
-_FOLDED = pa.schema([("n", pa.int64()), ("h", pa.int64()), ("body", pa.binary()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
-_OWNERS = pa.schema([("sha", pa.binary()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
+_FOLDED = pa.schema([("n", pa.int64()), ("h", pa.int64()), ("block", pa.int64()), ("body", pa.binary()), ("keep_id", pa.int64()), ("keep_rid", pa.int64()), ("rows", pa.int64()), ("group_size", pa.int64())])
+_OWNERS = pa.schema([("sha", pa.binary()), ("keep_id", pa.int64()), ("keep_rid", pa.int64()), ("rows", pa.int64()), ("group_size", pa.int64())])
 _KEYS = pa.schema([("doc_id", pa.int64()), ("rid", pa.int64()), ("sha", pa.binary())])
 
 
+def _spark(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {'binary' if f.type == pa.binary() else 'long'}" for f in schema)
+
+
 def normalise(text: str) -> bytes:
     """UTF-8 of text with each run of [\\x20\\x09-\\x0D] as one space."""
     raw = text.encode()
@@ -41,39 +54,44 @@ def _content_hash(body: bytes) -> int:
     return xxhash.xxh64_intdigest(body) - (1 << 63)
 
 
-def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    release()
-    for batch in parts(batches, 16 << 20):
-        trie = PatriciaTrie(budget=1 << 62)  # bounded by the slice
-        for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-            trie.insert(normalise(text.as_py()), doc_id)
-        rows = [(len(k), _content_hash(k), k, owner, n) for k, owner, n in trie.items()]
-        for at in range(0, len(rows), 1000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + 1000], strict=True), _FOLDED, strict=True)], schema=_FOLDED)
-
-
-def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (n, h): one trie after another, each over the texts of one length and content hash."""
-    trie, key, out = PatriciaTrie(), None, []
-
-    def owners(trie: PatriciaTrie) -> list[tuple]:
-        return [(hashlib.sha256(k).digest(), owner, n) for k, owner, n in trie.items()]
-
-    def table(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _OWNERS, strict=True)], schema=_OWNERS)
-
-    for batch in batches:
-        for n, h, body, owner, count in zip(batch["n"].to_pylist(), batch["h"].to_pylist(), batch["body"], batch["keep_id"].to_pylist(), batch["group_size"].to_pylist(), strict=True):
-            if (n, h) != key:
-                out += owners(trie)
-                trie, key = PatriciaTrie(), (n, h)
-            trie.insert(body.as_py(), owner, count)
-        if len(out) >= 5000:
-            yield table(out)
-            out = []
-    out += owners(trie)
+def _batches(rows: Iterator[tuple], schema: pa.Schema, body: int | None) -> Iterator[pa.RecordBatch]:
+    """rows in batches of some thousand, or some MB of the column body."""
+    out, held = [], 0
+    for row in rows:
+        out.append(row)
+        held += 1000 if body is None else 100 + len(row[body])
+        if held >= 4 << 20:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+            out, held = [], 0
     if out:
-        yield table(out)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+
+def _fold(budget: int, copies: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        trie, task = PatriciaTrie(budget), TaskContext.get().partitionId()
+        for batch in parts(batches):
+            for doc_id, rid, text in zip(batch["doc_id"].to_pylist(), batch["rid"].to_pylist(), batch["text"], strict=True):
+                trie.insert(normalise(text.as_py()), (doc_id, rid))
+        rows = ((len(k), _content_hash(k), task // max(1, copies // (len(k) + 1)), k, *owner, n, count) for k, owner, n, count in trie.items())
+        yield from _batches(rows, _FOLDED, 3)
+
+    return run
+
+
+def _own(budget: int):
+    """A trie for the partition: many lengths and content hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        trie = PatriciaTrie(budget)
+        for batch in batches:
+            for body, owner, rid, n, count in zip(batch["body"], *(batch[c].to_pylist() for c in ("keep_id", "keep_rid", "rows", "group_size")), strict=True):
+                trie.insert(body.as_py(), (owner, rid), n, count)
+        yield from _batches(((hashlib.sha256(k).digest(), *owner, n, count) for k, owner, n, count in trie.items()), _OWNERS, None)
+
+    return run
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,26 +100,34 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["rid"], sha], schema=_KEYS)
 
 
-def owners(docs: DataFrame) -> DataFrame:
-    """sha (SHA-256 of the normalised text), keep_id, group_size: a row for each distinct text."""
-    folded = texts(docs).mapInArrow(_fold, "n long, h long, body binary, keep_id long, group_size long")
-    return folded.repartition("n", "h").sortWithinPartitions("n", "h").mapInArrow(_own, "sha binary, keep_id long, group_size long")
-
+def owners(docs: DataFrame, budget: int = BUDGET, copies: int = COPIES) -> DataFrame:
+    """sha (SHA-256 of the normalised text), keep_id and keep_rid (the row that stays), rows (how many have just these), group_size: a row for each distinct text."""
+    folded = texts(docs).withColumn("rid", raw_hash()).mapInArrow(_fold(budget, copies), _spark(_FOLDED))
+    tried = folded.repartition("n", "h", "block").drop("n", "h", "block").mapInArrow(_own(budget), _spark(_OWNERS))
+    # the least owner of several blocks, and how many rows have it: a sum over those blocks that have it
+    place = F.struct(F.col("keep_id").isNull().alias("none"), "keep_id", "keep_rid")
+    by_owner = tried.groupBy("sha", place.alias("place")).agg(F.sum("rows").alias("rows"), F.sum("group_size").alias("group_size"))
+    merged = by_owner.groupBy("sha").agg(F.min(F.struct("place", "rows")).alias("best"), F.sum("group_size").alias("group_size"))
+    return merged.select("sha", F.col("best.place.keep_id").alias("keep_id"), F.col("best.place.keep_rid").alias("keep_rid"), F.col("best.rows").alias("rows"), "group_size")
 
-def _decided(docs: DataFrame) -> DataFrame:
-    """The rows of exact_dedup, with rid, which tells rows with one id but other texts apart."""
-    keyed = texts(docs).withColumn("rid", F.xxhash64("text")).mapInArrow(_keys, "doc_id long, rid long, sha binary")
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept")
-    return keyed.join(owners(docs), "sha").select("doc_id", "rid", "keep_id", "group_size", kept, F.lower(F.hex("sha")).alias("text_sha256"))
 
-
-def exact_dedup(docs: DataFrame) -> DataFrame:
+def exact_dedup(docs: DataFrame, budget: int = BUDGET, copies: int = COPIES) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row of docs."""
-    return _decided(docs).drop("rid")
-
-
-def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    stay = _decided(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("rid").alias("_rid"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("_rid"))
-    return docs.join(stay, same, "left_semi")
+    keyed = texts(docs).withColumn("rid", raw_hash()).mapInArrow(_keys, _spark(_KEYS))
+    found = cut(owners(docs, budget, copies))
+    joined = keyed.join(found, "sha")
+    owns = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("rid") == F.col("keep_rid"))
+    # repeated rows of an owner are alike but for `kept`, so they are counted, not told apart: `rows` of them come from the first
+    hexed = F.lower(F.hex("sha")).alias("text_sha256")
+    plain = joined.where(~(owns & (F.col("rows") > 1))).select("doc_id", "keep_id", "group_size", owns.alias("kept"), hexed)
+    several = found.where("rows > 1")
+    if several.isEmpty():
+        return plain
+    parted = several.withColumn("part", F.explode(F.expr("sequence(0L, (rows - 1) div 100000)")))
+    again = parted.withColumn("row", F.explode(F.expr("sequence(part * 100000, least(rows, (part + 1) * 100000) - 1)")))
+    return plain.unionByName(again.select(F.col("keep_id").alias("doc_id"), "keep_id", "group_size", (F.col("row") == 0).alias("kept"), hexed))
+
+
+def representatives(docs: DataFrame, budget: int = BUDGET, copies: int = COPIES) -> DataFrame:
+    """The rows of docs that stay, one for each distinct text, with all their columns."""
+    return only(docs, cut(owners(docs, budget, copies).select(F.col("keep_id").alias("id"), F.col("keep_rid").alias("rid"), "rows")))

@@ -1,27 +1,40 @@
 """A Patricia (compressed radix) trie over byte strings, whose terminal nodes own the smallest identifier seen.
 
-When the labels held outgrow a budget, the subtree with the most bytes is spilled: its strings go to a temporary file, and so do
-later strings under its prefix. Each file is read back into a trie of its own, one after another, so memory stays within the
-budget (or one string) however many distinct strings come.
+When what is held outgrows a budget, the subtree with the most bytes is spilled: its strings go to a file in Spark's spill folders, and so
+do later strings under its prefix. Each file is read back into a trie of its own, one after another, so memory stays within the
+budget (or one string) however many distinct strings come. A file belongs to the task that writes it and has no name; if the executor is
+lost, the task and its files are made anew elsewhere.
 """
 
 from __future__ import annotations
 
+import os
 import pickle
 import tempfile
 from collections.abc import Iterator
 
+#: Bytes that a node takes beside its label.
+NODE = 400
+#: (identifier or None, tie): None is larger than any identifier.
+Owner = tuple[int | None, int]
+
+
+def _key(owner: Owner) -> tuple:
+    return owner[0] is None, owner[0] or 0, owner[1]
+
 
 class _Node:
-    __slots__ = ("label", "kids", "owner", "count")
+    __slots__ = ("label", "kids", "owner", "rows", "count")
 
-    def __init__(self, label: bytes, owner: int | None = None, count: int = 0):
-        self.label, self.owner, self.count = label, owner, count
+    def __init__(self, label: bytes, owner: Owner | None = None, rows: int = 0, count: int = 0):
+        self.label, self.owner, self.rows, self.count = label, owner, rows, count
         self.kids: dict[int, _Node] = {}
 
-    def own(self, owner: int | None, count: int) -> None:
-        if self.owner is None or owner is not None and owner < self.owner:
-            self.owner = owner
+    def own(self, owner: Owner, rows: int, count: int) -> None:
+        if self.owner is None or _key(owner) < _key(self.owner):
+            self.owner, self.rows = owner, rows
+        elif owner == self.owner:
+            self.rows += rows
         self.count += count
 
 
@@ -39,23 +52,30 @@ def _common(a: bytes, b: bytes) -> int:
     return low
 
 
+def _folder() -> str | None:
+    """One of the folders that Spark itself spills to, where the worker knows them."""
+    folders = [f for f in os.environ.get("SPARK_LOCAL_DIRS", "").split(",") if os.path.isdir(f)]
+    return folders[os.getpid() % len(folders)] if folders else None
+
+
 class PatriciaTrie:
     def __init__(self, budget: int = 128 << 20):
         self.budget, self.held = budget, 0
         self.root = _Node(b"")
         self.spilled: dict[bytes, object] = {}
 
-    def insert(self, key: bytes, owner: int | None, count: int = 1) -> None:
+    def insert(self, key: bytes, owner: Owner, rows: int = 1, count: int = 1) -> None:
+        """owner: an identifier, and what tells rows with one identifier apart; rows: how many have just this owner; count: how many in all."""
         for prefix, file in self.spilled.items():
             if key.startswith(prefix):
-                pickle.dump((key, owner, count), file)
+                pickle.dump((key, owner, rows, count), file)
                 return
         node, at = self.root, 0
         while at < len(key):
             kid = node.kids.get(key[at])
             if kid is None:
-                node.kids[key[at]] = _Node(key[at:], owner, count)
-                self.held += len(key) - at + 200
+                node.kids[key[at]] = _Node(key[at:], owner, rows, count)
+                self.held += len(key) - at + NODE
                 if self.held > self.budget:
                     self._spill()
                 return
@@ -67,23 +87,23 @@ class PatriciaTrie:
             kid.label = kid.label[same:]
             upper.kids[kid.label[0]] = kid
             node.kids[key[at]] = upper
-            self.held += 200
+            self.held += NODE
             node, at = upper, at + same
-        node.own(owner, count)
+        node.own(owner, rows, count)
 
-    def _walk(self, top: _Node, prefix: bytes) -> Iterator[tuple[bytes, int | None, int]]:
+    def _walk(self, top: _Node, prefix: bytes) -> Iterator[tuple[bytes, Owner, int, int]]:
         stack = [(top, prefix)]
         while stack:
             node, path = stack.pop()
             if node.count:
-                yield path, node.owner, node.count
+                yield path, node.owner, node.rows, node.count
             stack.extend((kid, path + kid.label) for kid in node.kids.values())
 
     def _bytes(self, top: _Node) -> int:
         total, stack = 0, [top]
         while stack:
             node = stack.pop()
-            total += len(node.label) + 200
+            total += len(node.label) + NODE
             stack.extend(node.kids.values())
         return total
 
@@ -100,15 +120,15 @@ class PatriciaTrie:
                 break
             node, path = heavy, path + heavy.label
         prefix = path + heavy.label
-        file = tempfile.TemporaryFile()
+        file = tempfile.TemporaryFile(dir=_folder())
         for item in self._walk(heavy, prefix):
             pickle.dump(item, file)
         self.held -= size
         del node.kids[heavy.label[0]]
         self.spilled[prefix] = file
 
-    def items(self) -> Iterator[tuple[bytes, int | None, int]]:
-        """(string, smallest identifier, times inserted) of each distinct string."""
+    def items(self) -> Iterator[tuple[bytes, Owner, int, int]]:
+        """(string, smallest owner, rows with just this owner, rows in all) of each distinct string."""
         yield from self._walk(self.root, b"")
         for file in self.spilled.values():
             file.seek(0)
