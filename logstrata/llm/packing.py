@@ -8,7 +8,7 @@ left, with near-equal windows. k starts at the least that could hold the group a
 
 Full pieces are sequences of their own. All of it is one pass over the input, without a shuffle: nothing depends on keys, so a hot
 key, source or group of copies changes nothing. sequence_id is (partition, number within it). Null or empty text is the end id alone;
-a null or repeated doc_id is packed like any other row.
+a null or repeated doc_id is packed like any other row. Extra columns are ignored. A very long word costs n log n: its merges wait in a heap.
 """
 
 from __future__ import annotations
@@ -33,7 +33,10 @@ from .common import held, parts, texts
 GROUP = 1024
 #: Python's split() also cuts at these, which the tokenizer doesn't take for white space.
 _ODD, _WORDS = re.compile("[\x1c-\x1f]"), regex.compile(r"\S+")
-MEMO = 600_000
+#: Bytes, estimated, of the words that a worker remembers, and the longest of them in characters.
+MEMO, MEMO_CHARS = 128 << 20, 64
+#: Bytes from which a piece is merged by a heap of its own.
+LONG = 512
 _OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
@@ -95,7 +98,9 @@ class WordIds:
         self.keys, self.rank_of = keys[order], order
         self.merged = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
         self.none = len(pairs)
-        self.memo: dict[str, bytes] = {}  # words that came first, up to MEMO: the frequent ones
+        self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.memo: dict[str, bytes] = {}  # words that came first, while there is room: the frequent ones
+        self.room = MEMO
 
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a << 20 | b
@@ -106,7 +111,9 @@ class WordIds:
         """Ids of pieces, each as its bytes."""
         out = [b""] * len(pieces)
         lengths = np.array([len(p) for p in pieces])
-        for low, high in zip((1, 9, 17, 33, 129), (8, 16, 32, 128, int(lengths.max(initial=0))), strict=True):
+        for k in np.flatnonzero(lengths > LONG).tolist():
+            out[k] = self._heap(pieces[k])
+        for low, high in ((1, 8), (9, 16), (17, 32), (33, 128), (129, LONG)):
             some = np.flatnonzero((lengths >= low) & (lengths <= high))
             step = max(1, 400_000 // high)
             for at in range(0, len(some), step):
@@ -115,6 +122,32 @@ class WordIds:
                     out[k] = ids
         return out
 
+    def _heap(self, piece: bytes) -> bytes:
+        """Ids of one long piece: its symbols are a linked list, the pairs that could merge a heap by rank and place; stale ones are skipped."""
+        get = self.merges.get
+        inner = self.inner.tolist()
+        ids = [inner[b] for b in piece]
+        ids[-1] = int(self.last[piece[-1]])
+        n = len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(found[0], i, ids[i], ids[i + 1], found[1]) for i in range(n - 1) if (found := get((ids[i], ids[i + 1]))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, a, b, merged = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] != a or j >= n or ids[j] != b:
+                continue
+            ids[i], ids[j] = merged, -1
+            end = after[i] = after[j]
+            if end < n:
+                before[end] = i
+                if (found := get((merged, ids[end]))) is not None:
+                    heapq.heappush(heap, (found[0], i, merged, ids[end], found[1]))
+            p = before[i]
+            if p >= 0 and (found := get((ids[p], merged))) is not None:
+                heapq.heappush(heap, (found[0], p, ids[p], merged, found[1]))
+        return np.array([x for x in ids if x >= 0], dtype="<u4").tobytes()
+
     def _columns(self, pieces: list[bytes], lengths: np.ndarray, width: int) -> list[bytes]:
         n, none = len(pieces), self.none
         raw = np.frombuffer(b"".join([p.ljust(width, b"\0") for p in pieces]), dtype=np.uint8).reshape(n, width)
@@ -178,8 +211,13 @@ class WordIds:
         learnt: dict[str, bytes] = {}
         for at in range(0, len(fresh), 50_000):
             learnt |= self._learn(fresh[at : at + 50_000])
-        if len(memo) < MEMO:
-            memo |= learnt
+        if self.room > 0:
+            for w, ids in learnt.items():
+                if len(w) <= MEMO_CHARS:
+                    self.room -= 220 + len(w) + len(ids)
+                    memo[w] = ids
+                    if self.room <= 0:
+                        break
         for words, ids in zip(split, got, strict=True):
             yield b"".join(ids if None not in ids else [learnt[w] if x is None else x for w, x in zip(words, ids, strict=True)])
 
