@@ -1,58 +1,85 @@
 """Toxicity by a linear-chain conditional random field over words.
 
-Labels are of documents; the tokens' labels come from them: a feature of a word (itself, or its first 4, 5 or 6 letters) that separates
-toxic from other documents (G test, a bar that rises with the number of features, and mostly in toxic ones) marks the words that have it, in toxic documents. On these
-labelled tokens the field (weights of features, a bias, transitions) is trained in numpy by the forward-backward algorithm. In a
-document, forward-backward marginals give the offending words and their offsets; the evidence that some word offends, and
-its share by word, make the score, through a logistic and an isotonic regression on the document labels.
-
-It learns from a bounded sample of documents that aren't held out: about DOCS of each label. Scores see the text only. One pass over the
-documents, no shuffle; the sample's ids are the only thing that is broadcast.
+Labels are of documents; the tokens' labels come from them: a stem (a word, or its first 3 to 7 letters) that separates toxic from other
+documents, by occurring at all, more than once or densely (G test; the bar rises with the number of stems that occur often enough to be
+tested), labels the words that have it in toxic documents. On these labelled tokens the field is trained in numpy by the
+forward-backward algorithm. Its features are more than those stems: every stem that occurs in LEAST toxic documents, the words before
+and after, and a word's shape; and transitions. In a document, forward-backward marginals give the offending words and their offsets;
+the evidence that some word offends, and its share by word, make the score, through a logistic and an isotonic regression on the
+document labels.
+
+It learns from a bounded sample of labelled documents that aren't held out: about DOCS of each label, and of these, in order of a hash,
+those whose whole texts fit into BYTES for each label (a longer one is passed over; no text is cut). Exact and near copies in the sample
+count once. Scores see the text only. One pass over the documents, no shuffle; the sample's ids are the only thing that is broadcast.
 
 Null or empty text has the score of no offending word. Rows with a null doc_id are scored, but have no label. Repeated labels of a
-document: the largest counts. Without labels of both kinds all scores are 0.
+document: the largest counts. Repeated rows are scored alike; of a doc_id with several texts the least is learned from. Extra columns are
+ignored. Without labels of both kinds all scores are 0.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, held_out, parts, sampled, texts
+from .common import held, held_out, parts, sample_texts, sampled, texts
 
-DOCS, MEMO = 1200, 600_000
-PREFIXES = (4, 5, 6)
+DOCS, BYTES = 1200, 24 << 20
+#: Characters of words that a worker remembers, with their odds.
+MEMO = 16 << 20
+STEMS = (3, 4, 5, 6, 7)
+#: Toxic documents of the sample that must have a stem.
+LEAST = 3
 _EDGES = " \t\n\x0b\f\r.,;:!?()[]{}<>\"'*%$#&=+-_/\\|~`^@"
-_WORD = re.compile(r"\S+")
 
 
-def features(word: str) -> list[str]:
-    word = word.strip(_EDGES).lower()
-    return [word, *[f"{word[:k]}^" for k in PREFIXES if len(word) >= k]] if word else []
+def bare(word: str) -> str:
+    return word.strip(_EDGES).lower()
+
+
+def stems(word: str) -> list[str]:
+    word = bare(word)
+    return [word, *[f"{word[:k]}^" for k in STEMS if len(word) >= k]] if word else []
+
+
+def shapes(word: str) -> list[str]:
+    """Upper case, digits, and marks at the end that aren't punctuation."""
+    core = word.strip(_EDGES)
+    found = ((len(core) > 1 and core.isupper(), "/upper"), (any(c.isdigit() for c in core), "/digit"), (core and word[-1] in "#*@$!", "/mark"))
+    return [name for there, name in found if there]
 
 
 @dataclass
 class Field:
-    """weights by feature, bias (log odds of label 1 without features), moves: factors of the transitions 00, 01, 10, 11."""
+    """weights: by a word's own features; after, before: by the word in front of it and the word behind it; bias: log odds of label 1
+    without features; moves: factors of the transitions 00, 01, 10, 11."""
 
     weights: dict[str, float] = field(default_factory=dict)
+    after: dict[str, float] = field(default_factory=dict)
+    before: dict[str, float] = field(default_factory=dict)
     bias: float = -8.0
     moves: tuple[float, float, float, float] = (1.0, 1.0, 1.0, 1.0)
     judge: tuple[float, float, float] = (0.0, 0.0, -40.0)
     knots: list[float] = field(default_factory=lambda: [0.0])
     levels: list[float] = field(default_factory=lambda: [0.0])
 
-    def odds(self, word: str) -> float:
-        w = self.weights
-        return float(np.exp(min(30.0, max(-30.0, self.bias + sum(w.get(f, 0.0) for f in features(word))))))
+    def parts(self, word: str) -> tuple[float, float, float]:
+        """What a word adds to its own log odds, to those of the next word and of the one before."""
+        own, core = self.weights, bare(word)
+        return sum(own.get(f, 0.0) for f in stems(word) + shapes(word)), self.after.get(core, 0.0), self.before.get(core, 0.0)
+
+    def odds(self, parts: np.ndarray) -> np.ndarray:
+        """Odds of label 1 of each word of a text, from its words' parts (rows)."""
+        out = self.bias + parts[:, 0]
+        out[1:] += parts[:-1, 1]
+        out[:-1] += parts[1:, 2]
+        return np.exp(out.clip(-30, 30))
 
 
 def marginals(odds: np.ndarray, lengths: np.ndarray, moves: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,136 +148,195 @@ def _monotone(x: np.ndarray, y: np.ndarray) -> tuple[list[float], list[float]]:
     return knots, np.maximum.accumulate(levels).tolist()
 
 
-def _distinct(sample: list[tuple[str, int]]) -> list[tuple[str, int]]:
-    """sample without copies and near copies, whose words would seem frequent: of documents with a label that share one of three least word hashes, the first."""
+def _distinct(hashes: list[np.ndarray], labels: list[int]) -> list[int]:
+    """Numbers of the documents that are left without copies and near copies, whose words would seem frequent: of documents with a label
+    whose four least word hashes agree, in any of three orders, the first. hashes: of the words of each document."""
     seen, out = set(), []
-    for text, label in sample:
-        words = {w.strip(_EDGES).lower() for w in text.split()}
-        words = {w for w in words if len(w) >= 6} or words
-        keys = {(label, k, min((zlib.crc32(f"{k}{w}".encode()) for w in words), default=0)) for k in range(3)}
+    for k, (own, label) in enumerate(zip(hashes, labels, strict=True)):
+        own = np.unique(own)
+        orders = (own, own * np.uint64(0x9E3779B97F4A7C15), own * np.uint64(0xC2B2AE3D27D4EB4F))
+        keys = {(label, i, *np.sort(x)[:4].tolist()) for i, x in enumerate(orders)}
         if not keys & seen:
-            out.append((text, label))
+            out.append(k)
         seen |= keys
     return out
 
 
-def fit(sample: list[tuple[str, int]], steps: int = 60, window: int = 64) -> Field:
+def _g(cells: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The G statistic of (observed, expected)."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return 2 * sum(np.where(o > 0, o * np.log(o / e), 0) for o, e in cells)
+
+
+def _seeds(lists: list[np.ndarray], stems_of: list[list[int]], labels: np.ndarray, n_stems: int) -> tuple[set[int], np.ndarray]:
+    """Stems that mark toxic documents, and the number of toxic documents of each stem. lists: word numbers of each document.
+
+    Two tests, with a bar each: on the documents that have the stem (at all, several times, densely: one word of a hundred); and on the
+    different words with the stem in a document, summed over documents, whose statistic is divided by the dispersion among the other
+    documents: few documents are enough if they have many such words."""
+    counts = np.zeros((2, 3, n_stems), dtype=np.int64)
+    forms, squares, total = np.zeros((2, n_stems)), np.zeros(n_stems), [0, 0]
+    size = np.array([len(x) for x in stems_of])
+    begin, flat = np.cumsum(size) - size, np.array([f for x in stems_of for f in x], dtype=np.int64)
+    for ids, y in zip(lists, labels.tolist(), strict=True):
+        word, n = np.unique(ids, return_counts=True)
+        many = size[word]
+        at = np.repeat(begin[word] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        own, of, different = np.unique(flat[at], return_inverse=True, return_counts=True)
+        times = np.bincount(of, weights=np.repeat(n, many), minlength=len(own))
+        total[y] += len(word)
+        for level, there in enumerate((times > 0, times > 1, times * 100 >= len(ids))):
+            counts[y, level, own[there]] += 1
+        forms[y, own] += different
+        if not y:
+            squares[own] += different**2
+    toxic, other = int(labels.sum()), int((1 - labels).sum())
+    n = toxic + other
+    k, j = counts[1], counts[0]
+    g = _g([(k, (k + j) * toxic / n), (j, (k + j) * other / n), (toxic - k, (n - k - j) * toxic / n), (other - j, (n - k - j) * other / n)])
+    tested = k >= LEAST
+    bar = 4 + 2 * np.log(max(2, int(tested.sum())))  # the more that is tested, the more chance finds
+    marks = (tested & (k / toxic >= 5 * (j + 0.5) / other) & (g >= bar)).any(axis=0)
+    a, b = forms[1], forms[0]
+    share = total[1] / max(1, sum(total))
+    g = _g([(a, (a + b) * share), (b, (a + b) * (1 - share))]) / np.maximum(1, squares / np.maximum(b, 1))
+    tested = (k[0] > 1) & (a > k[0])
+    bar = 4 + 2 * np.log(max(2, int(tested.sum())))
+    marks |= tested & (a / max(1, total[1]) >= 5 * (b + 0.5) / max(1, total[0])) & (g >= bar)
+    return set(np.flatnonzero(marks).tolist()), k[0]
+
+
+class Chain:
+    """The field's log-likelihood of labelled windows and its gradient. Weights: of a word's own features, of the word before, of the word
+    behind, bias, moves. cells: (word, own feature); beside: (word, feature as a neighbour); none: the number of no word."""
+
+    def __init__(self, cells: np.ndarray, beside: np.ndarray, none: int, own: int, near: int):
+        self.cells, self.beside, self.none, self.own, self.near = cells, beside, none, own, near
+
+    def _sums(self, rows: np.ndarray, cells: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        return np.append(np.bincount(cells[:, 0], weights=weights[cells[:, 1]], minlength=self.none), 0)[rows]
+
+    def _gathered(self, rows: np.ndarray, gap: np.ndarray, cells: np.ndarray, size: int) -> np.ndarray:
+        by_word = np.bincount(rows.ravel(), weights=gap.ravel(), minlength=self.none + 1)
+        return np.bincount(cells[:, 1], weights=by_word[cells[:, 0]], minlength=size)
+
+    def gradient(self, theta: np.ndarray, grid: np.ndarray, truth: np.ndarray, lengths: np.ndarray) -> tuple[float, np.ndarray]:
+        """grid: word numbers, a column for each window, by descending length; truth: the labels."""
+        size, m = self.own, self.near
+        inside = np.arange(len(grid))[:, None] < lengths[None, :]
+        pair = inside[1:]
+        emission = theta[size + 2 * m] + self._sums(grid, self.cells, theta[:size])
+        emission[1:] += self._sums(grid[:-1], self.beside, theta[size : size + m])
+        emission[:-1] += self._sums(grid[1:], self.beside, theta[size + m : size + 2 * m])
+        emission = emission.clip(-30, 30)
+        odds = np.where(inside, np.exp(emission), 1.0)
+        factors = np.exp(theta[-4:])
+        both, ahead, back = marginals(odds, lengths, tuple(factors))
+        gap = np.where(inside, truth - both / (1 + both), 0)
+        # pairs: ahead[t - 1] (x) moves (x) odds[t] back[t]
+        left, right = ahead[:-1], np.minimum(odds[1:] * back[1:], 1e30)
+        cell = np.stack([np.full_like(left, factors[0]), factors[1] * right, left * factors[2], left * factors[3] * right])
+        pairs = ((cell / cell.sum(axis=0)) * pair).sum(axis=(1, 2))
+        seen = np.array([((truth[:-1] == i) & (truth[1:] == j) & pair).sum() for i in (0, 1) for j in (0, 1)], dtype=float)
+        near = [self._gathered(rows, part, self.beside, m) for rows, part in ((grid[:-1], gap[1:]), (grid[1:], gap[:-1]))]
+        g = np.concatenate([self._gathered(grid, gap, self.cells, size), *near, [gap.sum()], seen - pairs])
+        last = ahead[lengths - 1, np.arange(len(lengths))]
+        total = np.log1p(last).sum() + (np.log(factors[0] + ahead[:-1] * factors[2]) * pair).sum()
+        return float((emission * truth * inside).sum() + seen @ theta[-4:] - total), g
+
+
+def fit(sample: list[tuple[str, int]], epochs: int = 6, window: int = 64, batch: int = 2048) -> Field:
     """A field from (text, label)."""
-    sample = _distinct(sample)
-    toxic, other = sum(y for _, y in sample), sum(1 - y for _, y in sample)
+    texts = [t.split() for t, _ in sample]
+    number = {w: i for i, w in enumerate(sorted({w for ws in texts for w in ws}))}
+    words = list(number)
+    hashes = np.array([xxhash.xxh64_intdigest(bare(w).encode()) for w in words], dtype=np.uint64)
+    lists = [np.array([number[w] for w in ws], dtype=np.int64) for ws in texts]
+    stay = _distinct([hashes[x] for x in lists], [y for _, y in sample])
+    lists, labels = [lists[k] for k in stay], np.array([sample[k][1] for k in stay], dtype=np.int64)
+    toxic, other = int(labels.sum()), int((1 - labels).sum())
     if not toxic or not other:
         return Field()
-    words = [t.split() for t, _ in sample]
-    distinct = {w: features(w) for w in {w for ws in words for w in ws}}
-    # documents with the feature once or more, and with it twice or more: some stems also occur, once, in ordinary texts
-    counts, twice = (Counter(), Counter()), (Counter(), Counter())
-    for ws, (_, y) in zip(words, sample, strict=True):
-        own = Counter(f for w in ws for f in distinct[w])
-        counts[y].update(own.keys())
-        twice[y].update(f for f, n in own.items() if n > 1)
-    bar = 2 * np.log(max(2, len(counts[1])))  # the more features, the more chance finds
-
-    def separates(k: int, j: int) -> bool:
-        n = toxic + other
-        if k < 2 or k / toxic < 5 * (j + 0.5) / other:
-            return False
-        cells = ((k, (k + j) * toxic / n), (j, (k + j) * other / n), (toxic - k, (n - k - j) * toxic / n), (other - j, (n - k - j) * other / n))
-        return 2 * sum(o * np.log(o / e) for o, e in cells if o) >= bar
-
-    def marks(f: str) -> bool:
-        return separates(counts[1][f], counts[0][f]) or separates(twice[1][f], twice[0][f])
-
-    seeds = sorted(f for f in counts[1] if marks(f))
+    stem_of: dict[str, int] = {}
+    own = [[stem_of.setdefault(f, len(stem_of)) for f in stems(w)] for w in words]
+    seeds, often = _seeds(lists, own, labels, len(stem_of))
     if not seeds:
         return Field()
-    number = {f: i for i, f in enumerate(seeds)}
-    # vocabulary: words without a seed are one kind
-    kinds: dict[tuple, int] = {(): 0}
-    of = {}
-    for w, fs in distinct.items():
-        own = tuple(number[f] for f in fs if f in number)
-        if own not in kinds:
-            kinds[own] = len(kinds)
-        of[w] = kinds[own]
-    cells = np.array([(k, f) for own, k in kinds.items() for f in own]).reshape(-1, 2)
-    # windows of tokens: kind, label, a column for each window
-    grids, truths, lengths = [], [], []
-    for ws, (_, y) in zip(words, sample, strict=True):
-        ids = np.array([of[w] for w in ws], dtype=np.int64)
-        hits = np.flatnonzero(ids)
-        starts = range(0, len(ids), window) if not y else sorted({int(h) // window * window for h in hits})
-        for at in list(starts)[:8] if not y else starts:
-            part = ids[at : at + window]
-            grids.append(np.pad(part, (0, window - len(part))))
-            lengths.append(len(part))
-            truths.append(np.pad((part > 0) & (y == 1), (0, window - len(part))))
-    order = np.argsort(-np.array(lengths), kind="stable")
-    grid, truth, lengths = np.array(grids)[order].T, np.array(truths)[order].T, np.array(lengths)[order]
-    inside = np.arange(window)[:, None] < lengths[None, :]
-    pair = inside[1:]
-    weights, bias, moves = np.zeros(len(seeds)), -4.0, np.zeros(4)
-    seen_kind = np.bincount(grid[inside & truth], minlength=len(kinds))
-    pairs_seen = np.array([((truth[:-1] == i) & (truth[1:] == j) & pair).sum() for i in (0, 1) for j in (0, 1)], dtype=float)
-    scale, n = np.zeros(len(seeds) + 5), max(1, int(inside.sum()))
-    squares = np.zeros(len(seeds) + 5)
+    marked = np.array([*(bool(seeds.intersection(fs)) for fs in own), False])
+    # features: frequent stems and shapes of the word, its neighbours' words; cells: (word, feature)
+    names = [f for f, i in stem_of.items() if often[i] >= LEAST or i in seeds] + ["/upper", "/digit", "/mark"]
+    place = {f: i for i, f in enumerate(names)}
+    sides = [f for f in names if not f.endswith("^") and f[0] != "/"]
+    near = {f: i for i, f in enumerate(sides)}
+    cells = np.array([(i, place[f]) for i, w in enumerate(words) for f in stems(w) + shapes(w) if f in place]).reshape(-1, 2)
+    beside = np.array([(i, near[bare(w)]) for i, w in enumerate(words) if bare(w) in near], dtype=np.int64).reshape(-1, 2)
+    # windows of tokens: document, word numbers; none is the number of no word
+    none, size, m = len(words), len(names), len(sides)
+    columns = [(d, ids[at : at + window]) for d, ids in enumerate(lists) for at in range(0, len(ids), window)]
+    chain = Chain(cells, beside, none, size, m)
+    order = np.random.default_rng(5).permutation(len(columns))
+    theta = np.concatenate([np.zeros(size + 2 * m), [-4.0], np.zeros(4)])
+    decay = np.concatenate([np.full(size, 1e-6), np.full(2 * m, 1e-5), [0.0], np.full(4, 1e-4)])
+    scale, squares = np.zeros_like(theta), np.zeros_like(theta)
+    batches = [order[at : at + batch] for at in range(0, len(order), batch)]
+    steps = max(epochs * len(batches), 48)
     for step in range(1, steps + 1):
-        emission = np.full(len(kinds), bias)
-        np.add.at(emission, cells[:, 0], weights[cells[:, 1]])
-        odds = np.where(inside, np.exp(np.clip(emission, -30, 30))[grid], 1.0)
-        factors = np.exp(moves)
-        both, ahead, back = marginals(odds, lengths, tuple(factors))
-        p = np.where(inside, both / (1 + both), 0)
-        expected_kind = np.bincount(grid.ravel(), weights=p.ravel(), minlength=len(kinds))
-        # pairs: ahead[t - 1] (x) moves (x) odds[t] back[t]
-        left, right = ahead[:-1], np.minimum(odds[1:] * back[1:], 1e30)
-        cell = np.stack([np.full_like(left, factors[0]), factors[1] * right, left * factors[2], left * factors[3] * right])
-        pairs = ((cell / cell.sum(axis=0)) * pair).sum(axis=(1, 2))
-        gap = seen_kind - expected_kind
-        g = np.concatenate([np.bincount(cells[:, 1], weights=gap[cells[:, 0]], minlength=len(seeds)) / n - 1e-6 * weights, [gap.sum() / n], (pairs_seen - pairs) / n])
-        g -= np.concatenate([np.zeros(len(seeds) + 1), 1e-4 * moves])
+        # each epoch passes through all windows, a batch at a time
+        some = sorted((columns[i] for i in batches[step % len(batches)].tolist()), key=lambda x: -len(x[1]))
+        lengths = np.array([len(x) for _, x in some])
+        grid = np.array([np.pad(x, (0, window - len(x)), constant_values=none) if len(x) < window else x for _, x in some]).T
+        truth = marked[grid] & (labels[[d for d, _ in some]] == 1)
+        _, g = chain.gradient(theta, grid, truth, lengths)
+        g = g / max(1, int(lengths.sum())) - decay * theta
         scale += 0.2 * (g - scale)
         squares += 0.02 * (g * g - squares)
-        move = 0.5 * (scale / (1 - 0.8**step)) / (np.sqrt(squares / (1 - 0.98**step)) + 1e-9)
-        weights, bias, moves = weights + move[: len(seeds)], bias + move[len(seeds)], moves + np.clip(move[len(seeds) + 1 :], -0.1, 0.1)
-    model = Field(dict(zip(seeds, weights.tolist(), strict=True)), float(bias), tuple(np.exp(moves - moves[0]).tolist()))
+        move = 0.5 * (1 - 0.9 * step / steps) * (scale / (1 - 0.8**step)) / (np.sqrt(squares / (1 - 0.98**step)) + 1e-9)
+        move[-4:] = move[-4:].clip(-0.1, 0.1)
+        theta = theta + move
+    weights = theta.tolist()
+    moves = theta[-4:]
+    model = Field(dict(zip(names, weights[:size], strict=True)), dict(zip(sides, weights[size : size + m], strict=True)), dict(zip(sides, weights[size + m : size + 2 * m], strict=True)), weights[-5], tuple(np.exp(moves - moves[0]).tolist()))
     # the document's score
-    known = {w: model.odds(w) for w in distinct}
-    x = np.array([_stats(p) for p in _expected(model, [np.array([known[w] for w in ws]) for ws in words])]).T
-    labels = np.array([y for _, y in sample], dtype=float)
+    parts = np.array([model.parts(w) for w in words]).reshape(-1, 3)
+    x = np.array([_stats(p) for p in _expected(model, [model.odds(parts[ids]) for ids in lists])]).T
     y = np.where(labels == 1, (toxic + 1) / (toxic + 2), 1 / (other + 2))
-    theta = np.zeros(3)
+    judge = np.zeros(3)
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(theta @ x, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(judge @ x, -30, 30)))
         h = (x * (p * (1 - p))) @ x.T + 1e-3 * np.eye(3)
-        theta = theta + np.linalg.solve(h, x @ (y - p) - 1e-3 * theta).clip(-2, 2)
-    model.judge = tuple(theta.tolist())
-    model.knots, model.levels = _monotone(theta @ x, labels)
+        judge = judge + np.linalg.solve(h, x @ (y - p) - 1e-3 * judge).clip(-2, 2)
+    model.judge = tuple(judge.tolist())
+    model.knots, model.levels = _monotone(judge @ x, labels.astype(float))
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, docs_each: int = DOCS) -> Field:
+def train(docs: DataFrame, labels: DataFrame, docs_each: int = DOCS, most_bytes: int = BYTES) -> Field:
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
-    picked = sampled(known, "toxic", docs_each).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    one = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    picked = sampled(one.withColumn("text", F.lit(None).cast("string")), "toxic", docs_each).select("doc_id", "toxic")
     ids = docs.sparkSession.createDataFrame([tuple(r) for r in picked.collect()], "doc_id long, toxic int")  # about 2 * docs_each rows
-    rows = texts(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic").collect()
-    return fit([(r["text"], r["toxic"]) for r in sorted(rows)])
+    rows = texts(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic")
+    return fit([(text, y) for y, text in sample_texts(rows, "toxic", docs_each, most_bytes)])
 
 
 class _Reader:
-    """A worker's memory of words."""
+    """A worker's memory of words: the first ones, up to MEMO characters."""
 
     def __init__(self, model: Field):
-        self.model, self.memo = model, {}
+        self.model, self.memo, self.room = model, {}, MEMO
 
     def odds(self, words: list[str]) -> np.ndarray:
-        memo, odds = self.memo, self.model.odds
+        memo, parts = self.memo, self.model.parts
         got = list(map(memo.get, words))
         if None in got:
-            fresh = {w: odds(w) for w, x in zip(words, got, strict=True) if x is None}
-            if len(memo) < MEMO:
-                memo |= fresh
+            fresh = {w: parts(w) for w, x in zip(words, got, strict=True) if x is None}
             got = [fresh[w] if x is None else x for w, x in zip(words, got, strict=True)]
-        return np.array(got, dtype=np.float64)
+            for w, x in fresh.items():
+                self.room -= len(w) + 100
+                if self.room < 0:
+                    break
+                memo[w] = x
+        return self.model.odds(np.array(got, dtype=np.float64).reshape(-1, 3))
 
 
 def scores(model: Field, texts: list[str]) -> tuple[list[float], list[np.ndarray]]:
