@@ -2,18 +2,20 @@
 
 1. language: documents without a language go. 2. exact: of equal texts, one stays. 3. near: of each component of near-duplicates (5-word
 shingles, Jaccard similarity 0.8 or more), one stays. 4. secrets: secrets are masked; every document stays. 5. packing: token sequences of what is left.
+
+Null text has no language and goes in the first stage. Repeated rows are copies: one stays. Extra columns are carried to the last stage,
+whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from logstrata.llm import exact_dedup, language, near_copies, packing, secrets
-from logstrata.llm.common import documents
+from logstrata.llm import exact_dedup, language, packing, secrets, simhash
+from logstrata.llm.common import documents, shared_folder
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +27,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_copies.representatives(docs)
+    return simhash.representatives(docs)
 
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +46,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order over documents, each written to the session's shared folder and read again."""
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/pipeline-{uuid.uuid4().hex}"
-    docs = documents(spark, sf_dir)
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = documents(spark, sf_dir), None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        path = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:  # the next stage reads this one's rows only
+            place = spark._jvm.org.apache.hadoop.fs.Path(before)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        before = path
     return docs
