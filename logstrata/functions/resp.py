@@ -13,6 +13,17 @@ from pyspark.sql.types import ArrayType, StringType
 OK, NIL, EMPTY = "+OK\r\n", "$-1\r\n", "*0\r\n"
 WRONGTYPE = "-WRONGTYPE Operation against a key holding the wrong kind of value\r\n"
 ERROR_NOT_INTEGER = "-ERR the value is not an integer\r\n"
+ERROR_NOT_FLOAT = "-ERR value is not a valid float\r\n"
+#: Fixed: the commands that the reply to a wrong number of arguments names in upper case; it names the others in lower case.
+UPPER = frozenset("SET GET DEL INCR DECR EXPIRE TTL HSET HGET HDEL HKEYS LPUSH RPUSH LPOP RPOP LLEN LRANGE".split())
+
+
+def arity(cmd: str) -> str:
+    return f"-ERR wrong number of arguments for '{cmd if cmd in UPPER else cmd.lower()}' command\r\n"
+
+
+def unknown(cmd: str) -> str:
+    return f"-ERR unknown command '{cmd}'\r\n"
 
 
 def integer(n: int) -> str:

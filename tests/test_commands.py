@@ -119,3 +119,40 @@ def test_scalars(spark):
     assert [r[0] for r in df.select(scalars.strict_int(F.col("t"))).collect()] == [12, None, -3, None, None, None]
     assert [r[0] for r in df.select(scalars.lenient_int(F.col("t"))).collect()] == [12, 12, -3, 3000000000, None, None]
     assert df.select(scalars.after_marker(F.lit("a_b_c"), "_"), scalars.padded(F.lit(7)), scalars.checksum(F.lit("123456789")), scalars.expired(F.lit(5), 6), scalars.expired(F.lit(6), 6)).first()[:] == ("b_c", "0" * 31 + "7", 0xCBF43926, True, False)
+
+
+def test_bad_requests_have_a_reply(spark):
+    """No argument ends the job; each has its reply and changes nothing."""
+    got = say(spark, "set k v", "Get k", "SET k", "GET", "nope k", "NOPE", "EXPIRE k soon", "EXPIRE k 12abc", "TTL k", "LPUSH l a", "LRANGE l x 1", "LRANGE l 0 x", "lrange l 0 -1", "ZADD z one m", "ZADD z 1.5 m", "zadd z 1 a 2", "ZINCRBY z 2 m", "ZINCRBY z x m", "ZRANGE z a 1", "ZRANGE z 0 (9 BYSCORE", "ZRANGE z 0 9 byscore", "ZSCORE z m")
+    err = "-ERR the value is not an integer\r\n"
+    assert got[:4] == ["+OK\r\n", "$1\r\nv\r\n", "-ERR wrong number of arguments for 'SET' command\r\n", "-ERR wrong number of arguments for 'GET' command\r\n"]
+    assert got[4:9] == ["-ERR unknown command 'nope'\r\n", "-ERR unknown command 'NOPE'\r\n", err, ":1\r\n", ":11\r\n"]
+    assert got[9:13] == [":1\r\n", err, err, resp.array(["a"])]
+    assert got[13:16] == ["-ERR value is not a valid float\r\n", ":1\r\n", "-ERR wrong number of arguments for 'zadd' command\r\n"]
+    assert got[16:] == [":3\r\n", err, err, "-ERR value is not a valid float\r\n", resp.array(["m"]), resp.bulk("3")]
+
+
+def test_ranks_against_sorting(spark):
+    rng, held, lines, want = random.Random(3), {}, [], []
+    for _ in range(300):
+        m, score = f"m{rng.randrange(12)}", str(rng.choice([1, 2, 2.5, -3, 10]))
+        what = rng.random()
+        if what < 0.5:
+            lines.append(f"ZADD z {score} {m}")
+            want.append(f":{int(m not in held)}\r\n")
+            held[m] = score
+        elif what < 0.6:
+            lines.append(f"ZREM z {m}")
+            want.append(f":{int(held.pop(m, None) is not None)}\r\n")
+        else:
+            order = sorted(held, key=lambda x: (float(held[x]), x))
+            lines.append(f"ZRANK z {m}")
+            want.append(resp.integer(order.index(m)) if m in held else resp.NIL)
+    assert say(spark, *lines) == want
+
+
+def test_requests_to_replies(spark):
+    raw = [resp.array(["set", "k", "v"]) + resp.array(["GET", "k"]), resp.array(["lpush", "l", "a"]), resp.array(["RPUSH", "l", "b"]) + resp.array(["LRANGE", "l", "0", "-1"]) + "*2\r\n$3\r\nGE", "junk", resp.array(["PING"])]
+    df = spark.createDataFrame([(i, 5, t) for i, t in enumerate(raw, 1)], "seq long, at long, raw string")
+    got = [r["reply"] for r in commands.answer(df).orderBy("seq").collect()]
+    assert got == ["+OK\r\n" + resp.bulk("v"), ":1\r\n", ":2\r\n" + resp.array(["a", "b"]), "", "+PONG\r\n"]
