@@ -26,6 +26,21 @@ def append(rows: DataFrame, path: str, rows_per_file: int = 1 << 20) -> None:
     rows.withColumn("file", F.expr(f"seq div {rows_per_file}")).repartition("file").sortWithinPartitions("file", "seq").write.mode("append").partitionBy("file").parquet(path)
 
 
+def _folder(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place, files = _folder(spark, path)
+    return files.exists(place)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    place, files = _folder(spark, path)
+    files.delete(place, True)
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"{WAL}, file bigint").parquet(path)
 
@@ -33,8 +48,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def collect_garbage(spark: SparkSession, path: str, checkpoint: int) -> list[int]:
     """Deletes files whose transactions are all at or below the checkpoint, but for the last; their numbers."""
     gone = [r["file"] for r in removable_files(read(spark, path), checkpoint).collect()]  # a row a file
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    _, files = _folder(spark, path)
     for number in gone:
         files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/file={number}"), True)
     return sorted(gone)

@@ -74,11 +74,13 @@ def committed(wal: DataFrame) -> DataFrame:
     return wal.groupBy("txn_id").transformWithStateInPandas(_Assembled(), "txn_id long, commit_seq long, seq long, op string, key string, value string", "append", "none")
 
 
-def ingest(log: DataFrame, store: Store, watermark: int = 0) -> DataStreamWriter:
-    """Each micro-batch becomes a run; levels that are due are compacted after it."""
+def ingest(log: DataFrame, store: Store, watermark: int = 0, name: str = "log") -> DataStreamWriter:
+    """Each micro-batch becomes a run; levels that are due are compacted after it. The manifest names the last batch of the stream `name`
+    that it holds, in the change that adds its run, so a batch that is delivered again after a restart is passed over."""
 
-    def add(batch: DataFrame, _: int) -> None:
-        store.append(batch)
+    def add(batch: DataFrame, number: int) -> None:
+        if number > store.last_batch(name):
+            store.append(batch, batch=(name, number))
         store.compact(watermark)
 
     return log.writeStream.foreachBatch(add)

@@ -5,7 +5,7 @@ import pytest
 from logstrata.functions import blocks, bloom
 from logstrata.model import LOG, Config
 from logstrata.plans import layout
-from logstrata.session import Database
+from logstrata.session import Crash, Database
 from logstrata.sources import wal
 from logstrata.sources.storage import Store
 
@@ -101,3 +101,61 @@ def test_levels_cache_and_config():
     assert layout.due_levels({0: 4, 1: 7, 2: 12}) == [0, 2] and layout.target_bytes(2) == (4 << 20) * 16
     assert layout.hit_rate([1, 1, 2, 2, 3, 3, 1, 2, 3], 3) == pytest.approx(2 / 3)
     assert Config.of({"block_bytes": 1, "other": 2}) == Config(block_bytes=1)
+
+
+def test_values_apart(spark, tmp_path):
+    """Large values lie in files of their own; compaction and collection lose none that is read."""
+    store = Store(spark, str(tmp_path / "v"), Config(separate_from=5), values_apart=True)
+    store.append(spark.createDataFrame([("a", "long value 1", 1), ("b", "tiny", 2), ("c", "another long one", 3), ("d", "d" * 40, 4)], LOG))
+    store.append(spark.createDataFrame([("a", "long value 2", 5), ("c", None, 6), ("é", "ééé", 7)], LOG))
+    want = {"a": "long value 2", "b": "tiny", "d": "d" * 40, "é": "ééé"}
+    read = lambda version=0: {r["key"]: r["value"] for r in store.read(version).collect()}
+    assert read() == want and read(4) == {"a": "long value 1", "b": "tiny", "c": "another long one", "d": "d" * 40}
+    assert store.get("a").first()["value"] == "long value 2" and store.get("c").count() == 0 and store.log().count() == 7
+    store.compact(10, 0)
+    files = {v for r in store.runs() for v in r["values"]}
+    store.collect_values()
+    store.vacuum()
+    assert read() == want and len(files) == 2 and [len(r["values"]) for r in store.runs()] == [1]
+
+
+def test_a_hot_key_spreads_over_files(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "h"), Config(run_bytes=20_000))
+    store.append(spark.range(1, 20_001).selectExpr("'hot' AS key", "sha2(cast(id AS string), 256) AS value", "id AS version").repartition(4))
+    assert len(store.log().inputFiles()) > 1 and store.get("hot").first()["version"] == 20_000
+
+
+def test_recovery_after_a_crash(spark, tmp_path):
+    path = str(tmp_path / "c")
+    db = Database(spark, path)
+    db.put("a", "1")
+    one, two = db.begin(), db.begin()
+    one.put("a", "2")
+    one.remove("zz")
+    two.put("b", "lost")
+    with pytest.raises(Crash):
+        one.commit(crash=True)
+    assert db.get("a") == "1"
+    again = Database(spark, path)
+    assert again.get("a") == "2" and again.get("b") is None and again.next_id > one.txn_id
+    count = again.store.log().count()
+    assert Database(spark, path).store.log().count() == count
+    assert again.flush() == [1] and dict(again.items()) == {"a": "2"}
+
+
+def test_isolation_levels(spark, tmp_path):
+    db = Database(spark, str(tmp_path / "i"))
+    db.put("a", "1")
+    with pytest.raises(ValueError, match="isolation"):
+        db.begin("SNAPSHOT")
+    dirty, other, clean, serial = db.begin("READ_UNCOMMITTED"), db.begin("READ_UNCOMMITTED"), db.begin("READ_COMMITTED"), db.begin("SERIALIZABLE")
+    dirty.put("a", "seen")
+    assert other.get("a") == "seen" and clean.get("a") == serial.get("a") == "1"
+    other.put("a", "newer")
+    dirty.put("a", "late")  # a larger id has written it: this one is out at once
+    assert dirty.state == "ABORTED" and not dirty.commit() and dirty.get("a") is None
+    assert other.abort() and db.begin("READ_UNCOMMITTED").get("a") == "1"
+    serial.put("a", "kept")
+    assert serial.commit() and db.get("a") == "kept"
+    clean.put("a", "too late")
+    assert not clean.commit() and db.get("a") == "kept"
