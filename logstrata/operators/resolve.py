@@ -80,7 +80,10 @@ def get(log: DataFrame, key: str, version: int = 0) -> DataFrame:
     return as_of(log.where(F.col("key") == key), version)
 
 
-def multi_get(log: DataFrame, keys: DataFrame) -> DataFrame:
-    """A row for each row of keys (ord, key), value null where the key is missing. Only requested keys are resolved."""
-    asked = log.join(keys.select("key").distinct(), "key", "left_semi")
+def multi_get(log: DataFrame, keys: DataFrame, most: int = 1000) -> DataFrame:
+    """A row for each row of keys (ord, key), value null where the key is missing. Only requested keys are resolved: up to `most` different
+    ones are a filter on the scan, more are joined."""
+    different = keys.select("key").distinct()
+    few = [r["key"] for r in different.limit(most + 1).collect()]
+    asked = log.where(F.col("key").isin(few)) if len(few) <= most else log.join(different, "key", "left_semi")
     return keys.join(latest(asked).select("key", "value"), "key", "left").select("ord", "key", "value")

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from . import fixtures as fx
 from .fixtures import CHECKPOINT, KEY, POSITION, READER, VERSION, WATERMARK, sql
-from .functions import bloom, resp
+from .functions import bloom, resp, scalars
+from .model import Config
 from .operators import commands, merge, resolve, transactions, typed
 from .plans import layout
 from .sources import wal as wal_log
+from .sources.storage import Store
 from .streaming import folds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,16 +33,26 @@ def query(oracle: str | None = None):
     return add
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where it isn't set a local session gets a folder of its own; a cluster must name one that all machines share."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp()
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder that all executors share."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/logstrata-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/logstrata-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df, kept in the shared checkpoint folder."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -103,7 +115,7 @@ def multi_get(spark, sf_dir):
 
 
 @query(sql("""SELECT e.event_id AS probe_id, p.key, e.event_id // 2 AS probe_version, l.value, coalesce(l.version, 0) AS version FROM events e JOIN log p ON p.version = e.event_id + 1
-    LEFT JOIN log l ON l.key = p.key AND l.version = (SELECT max(version) FROM log x WHERE x.key = p.key AND x.version <= e.event_id // 2) WHERE e.event_id % 10 = 0""", "log"))
+    ASOF LEFT JOIN log l ON l.key = p.key AND e.event_id // 2 >= l.version""", "log"))
 def as_of_probe_join(spark, sf_dir):
     probes = fx.events(spark, sf_dir).select(F.col("event_id").alias("probe_id"), "key", F.expr("event_id div 2").alias("version"))
     return resolve.probe(fx.kv_log(spark, sf_dir), probes, width=1000).withColumn("version", F.coalesce("version", F.lit(0)))
@@ -217,16 +229,23 @@ def zone_map_prune(spark, sf_dir):
     return layout.prune(merge.run_stats(fx.runs(spark, sf_dir), "run_id", "level"), KEY).select("run_id", "level", "first_key", "last_key")
 
 
-@query()
+@query("WITH RECURSIVE runs AS (" + fx.CTES["runs"] + """), rows_ AS (SELECT run_id, key, strlen(key) + coalesce(strlen(value), 0) + 12 AS n, row_number() OVER (PARTITION BY run_id ORDER BY key, version DESC) AS place FROM runs),
+    placed AS (SELECT run_id, place, key, n, 0 AS block, 2 + n + 2 AS held FROM rows_ WHERE place = 1 UNION ALL
+        SELECT r.run_id, r.place, r.key, r.n, CASE WHEN p.held >= 4096 AND r.key <> p.key THEN p.block + 1 ELSE p.block END, CASE WHEN p.held >= 4096 AND r.key <> p.key THEN 2 ELSE p.held END + r.n + 2
+        FROM placed p JOIN rows_ r ON r.run_id = p.run_id AND r.place = p.place + 1)
+    SELECT run_id, CAST(block AS BIGINT) AS block, count(*) AS n_rows, CAST(sum(n) + 2 * count(*) + 2 AS BIGINT) AS bytes, min(key) AS first_key, max(key) AS last_key FROM placed GROUP BY run_id, block""")
 def block_layout(spark, sf_dir):
     return layout.block_layout(fx.runs(spark, sf_dir), 4096)
 
 
-@query()
+@query(sql("SELECT run_id, key, count(*) AS versions, max(version) AS newest FROM runs WHERE key IN (" + ", ".join(f"'{k}'" for k in sorted(set(WANTED))) + ") GROUP BY run_id, key", "runs"))
 def bloom_probe(spark, sf_dir):
+    """Reads of keys from those runs only whose filter lets them pass."""
     bits, hashes = bloom.sizes(fx.RUN_ROWS, 0.01)
-    filters = bloom.build(fx.runs(spark, sf_dir).select("run_id", "key"), "run_id", bits, hashes)
-    return bloom.probe(filters, "run_id", spark.createDataFrame([(k,) for k in sorted(set(WANTED))], "key string"), bits, hashes)
+    rows = fx.runs(spark, sf_dir)
+    filters = bloom.build(rows.select("run_id", "key"), "run_id", bits, hashes)
+    passed = bloom.probe(filters, "run_id", spark.createDataFrame([(k,) for k in sorted(set(WANTED))], "key string"), bits, hashes)
+    return rows.join(passed, ["run_id", "key"]).groupBy("run_id", "key").agg(F.count("*").alias("versions"), F.max("version").alias("newest"))
 
 
 # value separation
@@ -327,7 +346,14 @@ def conflict_candidates(spark, sf_dir):
     return transactions.conflict_candidates(fx.ops(spark, sf_dir), fx.txns(spark, sf_dir))
 
 
-@query()
+@query("WITH RECURSIVE txn AS (" + fx.CTES["txn"] + "), ops AS (" + fx.CTES["ops"] + """), tries AS (SELECT txn_id, row_number() OVER (ORDER BY commit_pos, txn_id) AS place FROM txn WHERE state = 'COMMITTED'),
+    w AS (SELECT DISTINCT txn_id, key, place FROM ops JOIN tries USING (txn_id)),
+    rivals AS (SELECT t.txn_id, t.place, coalesce(list(DISTINCT b.txn_id) FILTER (b.txn_id IS NOT NULL), CAST([] AS BIGINT[])) AS rivals FROM tries t JOIN w a ON a.txn_id = t.txn_id
+        LEFT JOIN w b ON a.key = b.key AND b.txn_id > a.txn_id AND b.place < a.place GROUP BY t.txn_id, t.place),
+    walk AS (SELECT place, txn_id, 'COMMITTED' AS outcome, [txn_id] AS done FROM rivals WHERE place = 1 UNION ALL
+        SELECT r.place, r.txn_id, CASE WHEN len(list_intersect(r.rivals, s.done)) > 0 THEN 'ABORTED' ELSE 'COMMITTED' END,
+            CASE WHEN len(list_intersect(r.rivals, s.done)) > 0 THEN s.done ELSE list_append(s.done, r.txn_id) END FROM walk s JOIN rivals r ON r.place = s.place + 1)
+    SELECT txn_id, outcome FROM walk""")
 def commit_outcomes(spark, sf_dir):
     return transactions.commit_outcomes(fx.ops(spark, sf_dir), fx.txns(spark, sf_dir), cut)
 
@@ -367,7 +393,7 @@ def del_keys(spark, sf_dir):
     return typed.births(rows, ("SET", "INCR", "DECR"), ("DEL",)).where("died").groupBy("key").agg(F.count("*").alias("deleted"))
 
 
-@query(sql("SELECT key, seq, cmd, (SELECT count(*) FROM events x WHERE x.event_type = 'signup' AND x.event_id % 100 = 0 AND x.event_id + 1 < cs.seq) AS epoch FROM cs WHERE cmd = 'INCR' AND seq % 50 = 0", "cs"))
+@query(sql("SELECT key, seq, cmd, epoch FROM (SELECT key, seq, cmd, CAST(coalesce(sum(CASE WHEN cmd = 'SET' AND n % 100 = 0 THEN 1 ELSE 0 END) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS epoch FROM cs) WHERE cmd = 'INCR'", "cs"))
 def flushall_epoch(spark, sf_dir):
     log = fx.commands(spark, sf_dir, "string")
     flush = (F.col("cmd") == "SET") & ((F.col("seq") - 1) % 100 == 0)
@@ -502,6 +528,17 @@ def zset_incrby(spark, sf_dir):
     return rows.where("cmd = 'ZINCRBY'").select("seq", "key", "reply", "cmd")
 
 
+@query(sql("SELECT key, count(*) FILTER (cmd = 'ZADD' AND NOT there) AS added, count(*) FILTER (cmd = 'ZREM' AND there) AS removed FROM (SELECT *, coalesce(lag(cmd) OVER (PARTITION BY key, member ORDER BY seq) IN ('ZADD', 'ZINCRBY'), FALSE) AS there FROM cz) GROUP BY key", "cz"))
+def zset_add_counts(spark, sf_dir):
+    rows = typed.births(fx.commands(spark, sf_dir, "zset"), ("ZADD", "ZINCRBY"), ("ZREM",))
+    return rows.groupBy("key").agg(F.count_if((F.col("cmd") == "ZADD") & F.col("born")).alias("added"), F.count_if("died").alias("removed"))
+
+
+@query(sql(f"SELECT key, '$' || strlen(CAST(score AS VARCHAR)) || chr(13) || chr(10) || CAST(score AS VARCHAR) || chr(13) || chr(10) AS reply FROM ({_SCORES}) WHERE member = 'm3'", "cz"))
+def zset_score_text(spark, sf_dir):
+    return _scores(spark, sf_dir).where("member = 'm3'").select("key", resp.bulk_column(F.col("score").cast("string")).alias("reply"))
+
+
 @query(sql(f"SELECT key, count(*) AS size FROM ({_SCORES}) GROUP BY key", "cz"))
 def zset_card(spark, sf_dir):
     return _scores(spark, sf_dir).groupBy("key").agg(F.count("*").alias("size"))
@@ -510,7 +547,17 @@ def zset_card(spark, sf_dir):
 # lists
 
 
-@query()
+#: Lists and the reply to each command, one command of every key at a time.
+_LIST_WALK = """steps AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS place, count(*) OVER (PARTITION BY key) AS steps FROM cl),
+    walk AS (SELECT key, CAST(0 AS BIGINT) AS place, max(steps) AS steps, CAST([] AS VARCHAR[]) AS held, CAST(0 AS BIGINT) AS seq, '' AS reply FROM steps GROUP BY key UNION ALL
+        SELECT w.key, s.place, w.steps, CASE s.cmd WHEN 'LPUSH' THEN list_prepend(s.value, w.held) WHEN 'RPUSH' THEN list_append(w.held, s.value) WHEN 'LPOP' THEN w.held[2:] ELSE w.held[:len(w.held) - 1] END, s.seq,
+            CASE WHEN s.cmd IN ('LPUSH', 'RPUSH') THEN ':' || (len(w.held) + 1) || chr(13) || chr(10) WHEN len(w.held) = 0 THEN '$-1' || chr(13) || chr(10)
+                ELSE '$' || strlen(w.held[CASE s.cmd WHEN 'LPOP' THEN 1 ELSE len(w.held) END]) || chr(13) || chr(10) || w.held[CASE s.cmd WHEN 'LPOP' THEN 1 ELSE len(w.held) END] || chr(13) || chr(10) END
+        FROM walk w JOIN steps s ON s.key = w.key AND s.place = w.place + 1)"""
+_LISTS = f"WITH RECURSIVE cl AS ({fx.CTES['cl']}), {_LIST_WALK}, items AS (SELECT key, unnest(held) AS value, unnest(range(len(held))) AS pos, len(held) AS size FROM walk WHERE place = steps) "
+
+
+@query(_LISTS + "SELECT key, pos, value FROM items")
 def list_state(spark, sf_dir):
     return commands.lists(fx.commands(spark, sf_dir, "list"))
 
@@ -520,23 +567,59 @@ def list_len(spark, sf_dir):
     return typed.list_lengths(fx.commands(spark, sf_dir, "list"))
 
 
-@query(sql("""SELECT key, pos, value FROM (SELECT key, value, row_number() OVER (PARTITION BY key ORDER BY CASE WHEN cmd = 'LPUSH' THEN -seq ELSE seq END) - 1 AS pos, count(*) OVER (PARTITION BY key) AS size
-    FROM cl WHERE cmd IN ('LPUSH', 'RPUSH')) WHERE pos >= 1 AND pos <= size - 2""", "cl"))
+@query(_LISTS + "SELECT key, pos, value FROM items WHERE pos >= 1 AND pos <= size - 2")
 def list_range(spark, sf_dir):
     held = commands.lists(fx.commands(spark, sf_dir, "list"))
     sizes = held.groupBy("key").agg(F.count("*").alias("size"))
     return typed.index_range(held.join(sizes, "key").withColumnRenamed("pos", "rank"), 1, -2).select("key", F.col("rank").alias("pos"), "value")
 
 
-@query()
+_CRLF = "chr(13) || chr(10)"
+#: Strings with expiry, one command of every key at a time.
+_STRING_WALK = f"""sorted AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS place FROM cs),
+    told AS (SELECT key, CAST(0 AS BIGINT) AS place, CAST(NULL AS BIGINT) AS value, CAST(NULL AS BIGINT) AS expire, CAST(0 AS BIGINT) AS seq, '' AS reply FROM cs GROUP BY key UNION ALL
+        SELECT key, place, CASE cmd WHEN 'SET' THEN n WHEN 'DEL' THEN NULL WHEN 'INCR' THEN coalesce(live, 0) + 1 WHEN 'DECR' THEN coalesce(live, 0) - 1 ELSE live END,
+            CASE cmd WHEN 'SET' THEN expire WHEN 'DEL' THEN NULL WHEN 'EXPIRE' THEN CASE WHEN live IS NOT NULL THEN moment + 86400 END ELSE CASE WHEN NOT gone THEN expire END END, seq,
+            CASE cmd WHEN 'SET' THEN '+OK' || {_CRLF} WHEN 'DEL' THEN ':' || CASE WHEN value IS NULL THEN 0 ELSE 1 END || {_CRLF} WHEN 'INCR' THEN CAST(coalesce(live, 0) + 1 AS VARCHAR) WHEN 'DECR' THEN CAST(coalesce(live, 0) - 1 AS VARCHAR)
+                ELSE ':' || CASE WHEN live IS NULL THEN 0 ELSE 1 END || {_CRLF} END
+        FROM (SELECT t.key, s.place, t.value, t.expire, s.seq, s.cmd, s.n, s.moment, coalesce(t.expire < s.moment, FALSE) AS gone, CASE WHEN NOT coalesce(t.expire < s.moment, FALSE) THEN t.value END AS live
+            FROM told t JOIN sorted s ON s.key = t.key AND s.place = t.place + 1))"""
+_SET_REPLIES = f"SELECT seq, ':' || CASE WHEN (cmd = 'SADD') <> there THEN 1 ELSE 0 END || {_CRLF} AS reply FROM (SELECT *, coalesce(lag(cmd) OVER (PARTITION BY key, member ORDER BY seq) = 'SADD', FALSE) AS there FROM cset)"
+_HASH_REPLIES = f"SELECT seq, ':' || CASE WHEN (cmd <> 'HDEL') <> there THEN 1 ELSE 0 END || {_CRLF} AS reply FROM ({_HASH_BIRTHS})"
+_ZSET_REPLIES = f"""SELECT seq, ':' || CASE WHEN cmd = 'ZINCRBY' THEN CAST(sum(number) OVER (PARTITION BY key, member, epoch ORDER BY seq) AS BIGINT) WHEN (cmd = 'ZADD') <> there THEN 1 ELSE 0 END || {_CRLF} AS reply FROM
+    (SELECT *, sum(CASE WHEN cmd IN ('ZADD', 'ZREM') THEN 1 ELSE 0 END) OVER (PARTITION BY key, member ORDER BY seq) AS epoch, coalesce(lag(cmd) OVER (PARTITION BY key, member ORDER BY seq) IN ('ZADD', 'ZINCRBY'), FALSE) AS there FROM cz)"""
+_ALL_KINDS = ("string", "hash", "set", "zset", "list")
+
+
+def _all_commands(spark, sf_dir):
+    """The commands of all kinds, each kind with keys of its own, in one log."""
+    both = None
+    for i, kind in enumerate(_ALL_KINDS):
+        rows = fx.commands(spark, sf_dir, kind).select((F.col("seq") * 8 + i).alias("seq"), "at", "cmd", F.concat(F.lit(f"{kind}:"), "key").alias("key"), "args")
+        both = rows if both is None else both.unionByName(rows)
+    return both
+
+
+_REPLIES = "SELECT seq * 8 AS seq, reply FROM told WHERE place > 0 UNION ALL " + " UNION ALL ".join(f"SELECT seq * 8 + {i} AS seq, reply FROM ({q})" for i, q in ((1, _HASH_REPLIES), (2, _SET_REPLIES), (3, _ZSET_REPLIES), (4, "SELECT seq, reply FROM walk WHERE place > 0")))
+_REPLAY = "WITH RECURSIVE " + ", ".join(f"{n} AS ({fx.CTES[n]})" for n in ("cs", "ch", "cset", "cz", "cl")) + f", {_STRING_WALK}, {_LIST_WALK} "
+
+
+@query(_REPLAY + _REPLIES)
 def command_replay(spark, sf_dir):
-    return commands.replay(fx.commands(spark, sf_dir, "string"))
+    return commands.replay(_all_commands(spark, sf_dir))
+
+
+@query(_REPLAY + f"SELECT seq, reply FROM ({_REPLIES})")
+def resp_session(spark, sf_dir):
+    """Requests as they come over the wire, in lower case, to replies."""
+    said = F.concat(F.array(F.lower("cmd"), "key"), "args")
+    return commands.answer(_all_commands(spark, sf_dir).select("seq", "at", resp.array_column(said).alias("raw")))
 
 
 # the wire format
 
 
-@query()
+@query(sql("SELECT seq, cmd || ' ' || key || ' ' || field || CASE WHEN cmd = 'HDEL' THEN '' ELSE ' ' || value END AS command FROM ch", "ch"))
 def resp_parse(spark, sf_dir):
     raw = fx.commands(spark, sf_dir, "hash").select("seq", resp.array_column(F.concat(F.array("cmd", "key"), "args")).alias("raw"))
     return raw.select("seq", F.explode(resp.requests("raw")).alias("args")).select("seq", F.array_join("args", " ").alias("command"))
@@ -547,6 +630,58 @@ def resp_encode(spark, sf_dir):
     return resolve.newest(fx.kv_log(spark, sf_dir)).select("key", resp.bulk_column(F.col("value")).alias("reply"))
 
 
+# scalars
+
+
+@query("""SELECT event_id, lpad(CAST(user_id AS VARCHAR), 32, '0') AS padded, CASE WHEN event_id % 3 = 0 THEN event_id END AS strict, event_id AS lenient, CASE WHEN instr(props, ':') > 0 THEN substr(props, instr(props, ':') + 1) END AS after,
+    event_id < 500 AS expired FROM events""")
+def scalar_codecs(spark, sf_dir):
+    rows, number = fx.events(spark, sf_dir), F.col("event_id").cast("string")
+    text = F.when(F.col("event_id") % 3 == 0, number).when(F.col("event_id") % 3 == 1, F.concat(number, F.lit("x"))).otherwise(F.concat(F.lit(" +"), number))
+    return rows.select("event_id", scalars.padded(F.col("user_id")).alias("padded"), scalars.strict_int(text).alias("strict"), scalars.lenient_int(text).alias("lenient"), scalars.after_marker(F.col("props"), ":").alias("after"), scalars.expired(F.col("event_id"), 500).alias("expired"))
+
+
+# the store and the write-ahead log, on files
+
+
+def _store(spark: SparkSession, sf_dir: str, **how) -> Store:
+    store = Store(spark, scratch(spark), **how)
+    rows = fx.runs(spark, sf_dir).select("key", "value", "version", "run_id")
+    half = rows.agg(F.max("run_id")).first()[0] // 2
+    store.append(rows.where(F.col("run_id") > half).drop("run_id"))
+    store.append(rows.where(F.col("run_id") <= half).drop("run_id"))
+    return store
+
+
+@query(ORACLES["full_scan_as_of"])
+def store_read(spark, sf_dir):
+    return _store(spark, sf_dir).read(VERSION)
+
+
+@query(ORACLES["compact_retention"])
+def store_compaction(spark, sf_dir):
+    store = _store(spark, sf_dir)
+    store.compact(WATERMARK, 0)
+    return store.log()
+
+
+@query(ORACLES["full_scan_latest"])
+def store_values_apart(spark, sf_dir):
+    store = _store(spark, sf_dir, config=Config(separate_from=9), values_apart=True)
+    store.compact(WATERMARK, 0)
+    store.collect_values()
+    store.vacuum()
+    return store.read()
+
+
+@query(ORACLES["wal_replay"])
+def wal_files(spark, sf_dir):
+    path = f"{scratch(spark)}/wal"
+    wal_log.append(_wal(spark, sf_dir), path, 10 << 20)
+    wal_log.collect_garbage(spark, path, CHECKPOINT)
+    return transactions.replay(wal_log.read(spark, path), CHECKPOINT).select("txn_id", "op", "key", "value", "seq")
+
+
 # streams, run to the end of what there is
 
 

@@ -1,4 +1,4 @@
-"""Queries against replays of the whole log in plain Python, where their SQL asks for less."""
+"""Queries against replays of the whole log in plain Python, beside their SQL."""
 
 import pytest
 
@@ -45,3 +45,21 @@ def test_as_of_probe_join_has_every_probe(spark, sf_dir, events):
         want.append((r["event_id"], r["key"], at, value, seen[-1]["version"] if seen else 0))
     got = [tuple(r[c] for c in ("probe_id", "key", "probe_version", "value", "version")) for r in QUERIES["as_of_probe_join"](spark, sf_dir).collect()]
     assert want and sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_a_few_keys_are_a_filter_on_the_scan(spark, tmp_path):
+    """No shuffle of the log for a few keys, and what is asked of a store reaches Parquet."""
+    from logstrata.operators import resolve
+    from logstrata.sources.storage import Store
+
+    store = Store(spark, str(tmp_path / "s"))
+    store.append(spark.range(1, 2001).selectExpr("concat('k', id % 50) AS key", "cast(id AS string) AS value", "id AS version"))
+    keys = spark.createDataFrame([(0, "k7"), (1, "none"), (2, "k7")], "ord long, key string")
+    asked = resolve.multi_get(store.log(), keys)
+    assert sorted(map(tuple, asked.collect())) == [(0, "k7", "1957"), (1, "none", None), (2, "k7", "1957")]
+    assert sorted(map(tuple, resolve.multi_get(store.log(), keys, most=1).collect())) == sorted(map(tuple, asked.collect()))
+    plan = asked._jdf.queryExecution().executedPlan().toString()
+    assert "In(key, [k7,none])" in plan.replace(" ", "").replace("In(key,[", "In(key, [")
+    plan = store.get("k7", 900)._jdf.queryExecution().executedPlan().toString()
+    # the plan shortens the list after the bounds of the key
+    assert "GreaterThanOrEqual(key,k7), LessThanOrEqual(key,k7), LessTha" in plan and "ReadSchema: struct<key:string,value:string,version:bigint" in plan
