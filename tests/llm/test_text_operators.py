@@ -322,6 +322,19 @@ def test_steps_change_nothing(monkeypatch):
         assert [list(language.windows(t)) for t in texts] == cuts and language.predictions(tagger, texts) == whole
 
 
+def test_reading_agrees_with_training():
+    """What a worker computes column by column is what the network that was trained says."""
+    import numpy as np
+
+    tagger = language.ByteTagger(["a", "b", "c"], seed=5)
+    pieces = [b"abc d", b"x", b"some more words here ", "é日".encode()]
+    x, mask = tagger.columns(pieces)
+    states = np.concatenate([tagger.ahead.forward(x, mask), tagger.back.forward(x[::-1], mask[::-1])[::-1]], axis=2)
+    p = tagger._softmax(states @ tagger.out + tagger.bias) * mask[:, :, None]
+    got = tagger.sums(pieces)
+    assert np.allclose(got[:, :-1], p.sum(axis=0), atol=1e-4) and got[:, -1].tolist() == [len(w) for w in pieces]
+
+
 def test_many_languages(spark):
     """Every labelled language is learned, and whole texts are read: the telling part comes last."""
     rows = [(k * 10 + i, f"{chr(97 + k % 26)}{chr(97 + k // 26)} " * 60, f"l{k:02d}") for k in range(70) for i in range(3)]
