@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 from collections.abc import Callable, Iterator
@@ -38,6 +39,8 @@ def release() -> None:
     _held = None
     gc.collect()
     pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc keeps freed pages, and an idle worker would hold them
+        trim(0)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,6 +76,8 @@ def _fold(budget: int, copies: int):
                 trie.insert(normalise(text.as_py()), (doc_id, rid))
         rows = ((len(k), _content_hash(k), task // max(1, copies // (len(k) + 1)), k, *owner, n, count) for k, owner, n, count in trie.items())
         yield from _batches(rows, _FOLDED, 3)
+        batch = text = rows = trie = None
+        release()
 
     return run
 
@@ -90,6 +92,8 @@ def _own(budget: int):
             for body, owner, rid, n, count in zip(batch["body"], *(batch[c].to_pylist() for c in ("keep_id", "keep_rid", "rows", "group_size")), strict=True):
                 trie.insert(body.as_py(), (owner, rid), n, count)
         yield from _batches(((hashlib.sha256(k).digest(), *owner, n, count) for k, owner, n, count in trie.items()), _OWNERS, None)
+        batch = body = trie = None
+        release()
 
     return run
 

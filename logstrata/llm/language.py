@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, parts, sample_texts
+from .common import held_out, parts, release, sample_texts
 
 DOCS, BYTES, WINDOWS, LEAST = 150, 4 << 20, 4800, 240
 WIDTH, HIDDEN, STEP = 96, 12, 1_000_000
@@ -298,6 +298,7 @@ def identify(docs: DataFrame, tagger: ByteTagger | None = None) -> DataFrame:
         for batch in parts(batches):
             langs, scores = predictions(tagger, batch["text"].to_pylist())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+        release()
 
     return rows.mapInArrow(run, _OUT)
 
@@ -312,5 +313,6 @@ def known_language(docs: DataFrame, least: float = 0.3, tagger: ByteTagger | Non
         for batch in parts(batches):
             langs, scores = predictions(tagger, batch["text"].to_pylist())
             yield batch.filter(pa.array([lang != "und" and score >= bar for lang, score in zip(langs, scores, strict=True)], pa.bool_()))
+        release()
 
     return docs.withColumn("text", F.coalesce("text", F.lit(""))).mapInArrow(run, docs.schema)
