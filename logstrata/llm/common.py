@@ -92,10 +92,12 @@ def only(docs: DataFrame, stay: DataFrame) -> DataFrame:
     keyed = docs.withColumn(names["own"], raw_hash())
     named = stay.select(F.col("id").cast("long").alias(names["id"]), F.col("rid").alias(names["rid"]), F.col("rows").alias(names["rows"]))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(names["id"])) & (F.col(names["own"]) == F.col(names["rid"]))
+    # named has some 20 bytes a row and no hot key, so it is what is hashed; the texts stream past it and needn't be sorted
+    hashed = named.hint("shuffle_hash")
     several = named.where(F.col(names["rows"]) > 1)
     if several.isEmpty():
-        return keyed.join(named, same, "left_semi").select(*columns)
-    single = keyed.join(named.where(F.col(names["rows"]) == 1), same, "left_semi").select(*columns)
+        return keyed.join(hashed, same, "left_semi").select(*columns)
+    single = keyed.join(hashed.where(F.col(names["rows"]) == 1), same, "left_semi").select(*columns)
     met = keyed.join(several, same).groupBy(names["id"], names["rid"]).agg(F.first(F.struct(*columns)).alias(names["row"]))
     return single.unionByName(met.select(f"{names['row']}.*"))
 
